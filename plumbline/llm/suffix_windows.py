@@ -78,13 +78,11 @@ def leftmost_minimum(values: np.ndarray, width: int) -> np.ndarray:
     held = grid == right.reshape(blocks, width)  # suffix minimum is met here
     first = np.where(held, order, np.iinfo(np.int64).max)
     first = np.minimum.accumulate(first[:, ::-1], axis=1)[:, ::-1].ravel()  # next suffix-minimum holder
-    met = np.where(padded == left, np.arange(len(padded)), 0).reshape(blocks, width)
     # a new prefix minimum begins where the running minimum drops
     drops = np.ones((blocks, width), bool)
     lg = left.reshape(blocks, width)
     drops[:, 1:] = lg[:, 1:] < lg[:, :-1]
     last = np.maximum.accumulate(np.where(drops, order, 0), axis=1).ravel()
-    del met
     in_right = right[starts] == lowest
     return np.where(in_right, first[starts], last[starts + width - 1])
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from plumbline.plans import stats_queries, text_queries
+
+_MODULES = [text_queries, stats_queries]
+QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLES: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
 
 
 def flagship(spark, sf_dir):

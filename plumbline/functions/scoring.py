@@ -114,8 +114,8 @@ def violations(dims: Column, total: Column, top: int) -> Column:
     """The ``top`` dimensions by share of the loss, ties in the order of listing; none if the loss is 0."""
     shares = F.transform(
         F.filter(dims, lambda d: d["weight"] > 0),
-        lambda d: F.struct((-(d["norm"] * d["weight"]) / total).alias("key"), d["place"].alias("place"), d["dimension"].alias("dimension"), d["norm"].alias("norm"),
-                           (d["norm"] * d["weight"] / total).alias("share"), (d["norm"] * d["weight"]).alias("weighted")),
+        lambda d: F.struct(F.try_divide(-(d["norm"] * d["weight"]), total).alias("key"), d["place"].alias("place"), d["dimension"].alias("dimension"), d["norm"].alias("norm"),
+                           F.try_divide(d["norm"] * d["weight"], total).alias("share"), (d["norm"] * d["weight"]).alias("weighted")),
     )
     return F.when(total > 0, F.slice(F.array_sort(shares), 1, top)).otherwise(F.slice(F.array_sort(shares), 1, 0))
 

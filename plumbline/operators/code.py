@@ -305,10 +305,10 @@ def halstead_table(nodes: DataFrame, key: str) -> DataFrame:
     """Halstead counts of whole trees by aggregation over their nodes."""
     op = F.col("type").isin(sorted(OPERATOR_TYPES))
     arg = (F.col("n_children") == 0) & ~op & F.lower("type").rlike("|".join(OPERAND_PARTS))
-    s = nodes.groupBy(key).agg(F.count_distinct(F.when(op, F.col("type"))).alias("n1"), F.count_distinct(F.when(arg, F.col("text"))).alias("n2"), F.count_if(op).alias("N1"), F.count_if(arg).alias("N2"))
+    s = nodes.groupBy(key).agg(F.count_distinct(F.when(op, F.col("type"))).alias("n1"), F.count_distinct(F.when(arg, F.col("text"))).alias("n2"), F.count_if(op).alias("operators"), F.count_if(arg).alias("operands"))
     words = F.col("n1") + F.col("n2")
-    volume = F.when(words >= 2, (F.col("`N1`") + F.col("`N2`")) * F.log2(words.cast("double"))).otherwise(0.0)
-    difficulty = F.when((words >= 2) & (F.col("n2") > 0), F.col("n1") / 2 * F.col("`N2`") / F.col("n2")).otherwise(0.0)
+    volume = F.when(words >= 2, (F.col("operators") + F.col("operands")) * F.log2(words.cast("double"))).otherwise(0.0)
+    difficulty = F.when((words >= 2) & (F.col("n2") > 0), F.col("n1") / 2 * F.col("operands") / F.col("n2")).otherwise(0.0)
     return s.withColumn("volume", volume).withColumn("difficulty", difficulty).withColumn("effort", F.col("volume") * F.col("difficulty"))
 
 

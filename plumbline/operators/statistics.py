@@ -67,7 +67,7 @@ def cohens_d(df: DataFrame, value: str, first: Column, groups: list[str] | None
     s = df.groupBy(*(groups or [])).agg(
         F.count(a).alias("n1"), F.count(b).alias("n2"), F.avg(a).alias("m1"), F.avg(b).alias("m2"), F.coalesce(F.var_samp(a), F.lit(0.0)).alias("v1"), F.coalesce(F.var_samp(b), F.lit(0.0)).alias("v2")
     )
-    pooled = F.sqrt(((F.col("n1") - 1) * F.col("v1") + (F.col("n2") - 1) * F.col("v2")) / (F.col("n1") + F.col("n2") - 2))
+    pooled = F.sqrt(F.try_divide((F.col("n1") - 1) * F.col("v1") + (F.col("n2") - 1) * F.col("v2"), F.col("n1") + F.col("n2") - 2))
     ok = (F.col("n1") >= 2) & (F.col("n2") >= 2)
     return s.select(*(groups or []), "n1", "n2", F.when(ok & (pooled > 0), (F.col("m2") - F.col("m1")) / pooled).otherwise(0.0).alias("d"))
 
@@ -100,7 +100,7 @@ def dimension_discrimination(df: DataFrame, category: str, dims: list[str], scor
         F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.first("_n").alias("n"), F.count(low).alias("nl"), F.count(high).alias("nh"), F.avg(low).alias("ml"), F.avg(high).alias("mh"),
         F.var_pop(low).alias("vl"), F.var_pop(high).alias("vh"),
     )
-    pooled = F.sqrt((F.col("vl") * (F.col("nl") - 1) + F.col("vh") * (F.col("nh") - 1)) / (F.col("nl") + F.col("nh") - 2))
+    pooled = F.sqrt(F.try_divide(F.col("vl") * (F.col("nl") - 1) + F.col("vh") * (F.col("nh") - 1), F.col("nl") + F.col("nh") - 2))
     halves = (F.col(category) == split_category) & (F.col("n") >= 10) & (F.col("nl") >= 2) & (F.col("nh") >= 2)
     d = F.when(halves & (pooled > 0), (F.col("mh") - F.col("ml")) / pooled)
     return s.select(category, "dimension", "mean", "std", F.when(F.col("mean") > 0, F.col("std") / F.col("mean")).otherwise(0.0).alias("cv"), d.alias("cohens_d"))
@@ -138,7 +138,8 @@ def regressions(current: DataFrame, baseline: DataFrame) -> DataFrame:
     """Targets that were met and fail now, or whose value worsened by over 10 %."""
     b = baseline.select("name", F.col("baseline").alias("previous_value"), F.col("met").alias("was_met"))
     j = current.join(b, "name")
-    worse = F.when(F.col("direction") == "lower_is_better", F.col("baseline") - F.col("previous_value")).otherwise(F.col("previous_value") - F.col("baseline")) / F.abs("previous_value")
+    loss = F.when(F.col("direction") == "lower_is_better", F.col("baseline") - F.col("previous_value")).otherwise(F.col("previous_value") - F.col("baseline"))
+    worse = F.try_divide(loss, F.abs("previous_value"))
     lost = F.col("was_met") & ~F.col("met")
     by_value = (F.col("previous_value") != 0) & (worse > 0.10)
     return j.where(lost | by_value).select("name", "previous_value", F.col("baseline").alias("current_value"), "target", "was_met", F.col("met").alias("now_met"), F.when(lost, "failing").otherwise("worse").alias("kind"))

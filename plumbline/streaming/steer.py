@@ -58,7 +58,7 @@ def _clamp(x: Column, low: float, high: float) -> Column:
 
 def fold(steps: DataFrame, session: str, order: str, error: str, cfg: PID = PID()) -> DataFrame:  # noqa: B008
     """(session, order, error, u, tau, p) of every step, folded in the order of ``order`` by one expression a session."""
-    rows = steps.groupBy(session).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(error).cast("double").alias("e")))).alias("steps"))
+    rows = steps.groupBy(session).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(error).cast("double").alias("e")))).alias("_steps"))
     item = "struct<at:{},e:double,u:double,f:double,i:double,tau:double,p:double>".format(dict(steps.dtypes)[order])
     start = F.array().cast(f"array<{item}>")
 
@@ -74,8 +74,8 @@ def fold(steps: DataFrame, session: str, order: str, error: str, cfg: PID = PID(
         )
         return F.concat(done, F.array(new))
 
-    folded = rows.select(session, F.explode(F.aggregate("steps", start, step)).alias("s"))
-    return folded.select(session, F.col("s.at").alias(order), F.col("s.e").alias(error), F.col("s.u").alias("u"), F.col("s.tau").alias("tau"), F.col("s.p").alias("p"))
+    folded = rows.select(session, F.explode(F.aggregate("_steps", start, step)).alias("_s"))
+    return folded.select(session, F.col("_s.at").alias(order), F.col("_s.e").alias(error), F.col("_s.u").alias("u"), F.col("_s.tau").alias("tau"), F.col("_s.p").alias("p"))
 
 
 def stream(steps: DataFrame, session: str, order: str, error: str, cfg: PID = PID()) -> DataFrame:  # noqa: B008

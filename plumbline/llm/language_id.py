@@ -143,6 +143,7 @@ def fold(id_col: str) -> Column:
 
 def sample(docs: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
     """(text, label): the bounded training sample.  A hash of the row thins each language before anything is ordered."""
+    docs = docs.select(id_col, text_col, label_col)
     labelled = docs.where((fold(id_col) != 2) & F.col(label_col).isNotNull() & (F.octet_length(F.col(text_col)) >= 16))
     sizes = labelled.groupBy(label_col).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), label_col).limit(MAX_LANGUAGES)
     spread = F.abs(F.xxhash64(F.col(id_col), F.lit("sample")) % 1_000_000) / 1_000_000

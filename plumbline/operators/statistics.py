@@ -178,3 +178,25 @@ def kappa(ratings: DataFrame, key: list[str], rating: str, turn: str) -> DataFra
     s = both.agg(F.count(F.lit(1)).alias("pairs"), F.avg((F.col("a") == F.col("b")).cast("double")).alias("po"), F.avg("a").alias("p1"), F.avg("b").alias("p2"))
     pe = F.col("p1") * F.col("p2") + (1 - F.col("p1")) * (1 - F.col("p2"))
     return s.select("pairs", F.when(F.col("pairs") < 5, None).when(pe == 1, 1.0).otherwise((F.col("po") - pe) / (1 - pe)).alias("kappa"))
+
+
+def human_ratings(spark, path: str) -> DataFrame:
+    """(file, function_name, language, human_rating, n_raters) of a rating file."""
+    schema = "version string, description string, functions array<struct<file:string,function_name:string,language:string,human_rating:double,n_raters:int>>"
+    return spark.read.schema(schema).json(path, multiLine=True).select(F.explode("functions").alias("f")).select("f.*")
+
+
+def rating_report(rated: DataFrame, rating: str = "human_rating", score: str = "score") -> DataFrame:
+    """One row: rho of rating and gain, decision counts, and excellent files (4.5 or more) that are rejected."""
+    gain = rated.withColumn("_gain", 1 - F.col(score))
+    rho = spearman(gain, rating, "_gain")
+    counts = rated.agg(
+        F.count_if(F.col("assessment") == "accept").alias("n_accept"), F.count_if(F.col("assessment") == "marginal").alias("n_marginal"), F.count_if(F.col("assessment") == "reject").alias("n_reject"),
+        F.count_if((F.col(rating) >= 4.5) & (F.col("assessment") == "reject")).alias("excellent_rejected"),
+    )
+    return rho.join(F.broadcast(counts), F.lit(True))  # one row each
+
+
+def discrimination(scored: DataFrame, score: str, in_corpus: Column, language: str) -> DataFrame:
+    """Per language: effect size between units in and out of the corpus, and whether it is over 0.5."""
+    return cohens_d(scored, score, in_corpus, [language]).withColumn("passed", F.col("d") > 0.5)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import scoring
 from plumbline.operators import statistics
-from plumbline.plans.text_queries import SCORED, scored, table
+from plumbline.plans.text_queries import SCORED, scored_once, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -32,12 +32,12 @@ def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id")
+    return scored_once(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id")
 
 
 @query(SCORED + "SELECT source, count(*) AS n, " + _SEVEN.format(v="score") + " FROM scored GROUP BY source")
 def score_distribution_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(statistics.distribution(scored(spark, sf_dir), "score", ["source"]))
+    return _rounded(statistics.distribution(scored_once(spark, sf_dir), "score", ["source"]))
 
 
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, " + _SEVEN.format(v="l_extendedprice") + " FROM lineitem GROUP BY ALL")
@@ -48,7 +48,7 @@ def price_distribution_by_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(SCORED + "SELECT round(quantile_cont(score, 0.25), 6) AS accept, round(quantile_cont(score, 0.75), 6) AS reject, count(*) >= 10 AND quantile_cont(score, 0.25) < quantile_cont(score, 0.75) AS valid FROM scored")
 def derive_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = statistics.distribution(scored(spark, sf_dir), "score")
+    d = statistics.distribution(scored_once(spark, sf_dir), "score")
     return d.select(F.round("p25", 6).alias("accept"), F.round("p75", 6).alias("reject"), ((F.col("n") >= 10) & (F.col("p25") < F.col("p75"))).alias("valid"))
 
 
@@ -58,7 +58,7 @@ def derive_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
         WHEN score >= x2 THEN 25 + (score - x2) / (x3 - x2) * 25 WHEN score >= x1 THEN 10 + (score - x1) / (x2 - x1) * 15 ELSE (score - x0) / (x1 - x0) * 10 END END, 4) AS percentile
     FROM scored, k""")
 def quality_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = scored(spark, sf_dir)
+    s = scored_once(spark, sf_dir)
     knots = statistics.distribution(s, "score").first()  # seven numbers
     values = {k: F.lit(float(knots[k])) for k in statistics.KNOTS}
     return s.select("doc_id", F.round(scoring.quality_percentile(F.col("score"), values), 4).alias("percentile"))

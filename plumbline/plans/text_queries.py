@@ -34,6 +34,11 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumn("decision", scoring.decision(F.col("score")))
 
 
+def scored_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for queries that pass over the scores several times: texts are read and counted once."""
+    return scored(spark, sf_dir).persist()
+
+
 #: The same in SQL.
 SCORED = r"""
     WITH bytes AS (
@@ -77,7 +82,7 @@ def highlighted(df: DataFrame, score: str, key: str, bottom: int | None = None,
     edge AS (SELECT score AS cut FROM k WHERE rank = n - m + 1)
     SELECT doc_id, score, rank, CASE WHEN m = 0 OR spread = 0 THEN false ELSE score >= (SELECT cut FROM edge) END AS highlighted FROM k""")
 def rank_bottom_highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return highlighted(scored(spark, sf_dir), "score", "doc_id").select("doc_id", "score", F.col("rank").cast("long").alias("rank"), "highlighted")
+    return highlighted(scored_once(spark, sf_dir), "score", "doc_id").select("doc_id", "score", F.col("rank").cast("long").alias("rank"), "highlighted")
 
 
 @query("""

@@ -161,3 +161,16 @@ def test_steer_config():
     with pytest.raises(ValueError):
         steer.PID(alpha=0)
     assert steer.PID(i_max=0).step((0, 0, 0.7, 0.9), 0.5)[0][1] == 0
+
+
+def test_ratings_and_discrimination(spark, tmp_path):
+    import json
+
+    functions = [{"file": f"f{k}.py", "function_name": "f", "language": "python", "human_rating": r, "n_raters": 3} for k, r in enumerate([1.0, 3.0, 5.0])]
+    (tmp_path / "b.json").write_text(json.dumps({"version": "1", "description": "", "functions": functions}, indent=1))
+    rated = statistics.human_ratings(spark, str(tmp_path / "b.json"))
+    scored = rated.withColumn("score", F.lit(1.0) - F.col("human_rating") / 10).withColumn("assessment", F.when(F.col("score") >= 0.6, "reject").otherwise("accept"))
+    r = statistics.rating_report(scored).first()
+    assert abs(r["rho"] - 1) < 1e-12 and r["n_reject"] == 2 and r["excellent_rejected"] == 0
+    two = spark.createDataFrame([("py", 0.1, True), ("py", 0.2, True), ("py", 0.8, False), ("py", 0.9, False)], "lang string, score double, known boolean")
+    assert statistics.discrimination(two, "score", F.col("known"), "lang").first()["passed"]

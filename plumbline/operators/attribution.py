@@ -40,3 +40,39 @@ def directives(rows: DataFrame, threshold: float = 0.3, scalars: int = N_SCALARS
         "category": category(c("dimension"), c("feature_index"), c("deviation"), c("dominant"), scalars),
         "severity": severity(c("norm"), c("dimension"), c("line_count")),
     })
+
+
+def attributions(evaluated: DataFrame, projected: DataFrame | None, key: str, first_units: DataFrame | None = None, top: int = 3) -> DataFrame:
+    """A row a file and dimension, in the order of the dimensions: norm, weight, available, features of the manifold dimensions, and the place in the source.
+
+    ``evaluated`` has the dimensions array; ``projected`` x_rec and x_norm by key; ``first_units`` the unit that was projected.
+    """
+    from plumbline.operators.model import contributions, feature_name, top_features
+
+    rows = evaluated.select(key, F.explode("dimensions").alias("d")).select(key, "d.dimension", "d.place", "d.norm", "d.weight")
+    if projected is None:
+        out = rows.withColumn("features", F.array().cast("array<struct<rank:int,feature_index:int,feature:string,contribution:double,deviation:double>>"))
+    else:
+        best = top_features(contributions(projected, key), key, top)
+        item = F.struct("rank", "feature_index", feature_name(F.col("feature_index")).alias("feature"), "contribution", F.col("x_norm").alias("deviation"))
+        out = rows.join(best.groupBy(key, "dimension").agg(F.array_sort(F.collect_list(item)).alias("features")), [key, "dimension"], "left")  # ``top`` a group
+        out = out.withColumn("features", F.coalesce("features", F.array()))
+    out = out.withColumn("available", F.col("weight") > 0)
+    if first_units is not None:
+        out = out.join(first_units.select(key, F.col("name").alias("unit"), "start_line", "end_line"), key, "left")
+    return out.orderBy(key, "place")
+
+
+def to_json(rows: DataFrame, key: str) -> DataFrame:
+    """(key, attribution): the five dimensions of each file as one JSON text."""
+    item = F.struct("place", *[c for c in rows.columns if c not in (key, "place")])
+    return rows.groupBy(key).agg(F.to_json(F.array_sort(F.collect_list(item))).alias("attribution"))  # five a file
+
+
+def annotation_template(found: DataFrame, key: str) -> DataFrame:
+    """A row a directive to be rated by hand."""
+    from pyspark.sql import Window
+
+    index = F.row_number().over(Window.partitionBy(key).orderBy("dimension", "category")) - 1
+    null = F.lit(None).cast("string")
+    return found.select(key, index.alias("directive_index"), "category", null.alias("rating"), null.alias("rater"))

@@ -174,3 +174,24 @@ def test_ratings_and_discrimination(spark, tmp_path):
     assert abs(r["rho"] - 1) < 1e-12 and r["n_reject"] == 2 and r["excellent_rejected"] == 0
     two = spark.createDataFrame([("py", 0.1, True), ("py", 0.2, True), ("py", 0.8, False), ("py", 0.9, False)], "lang string, score double, known boolean")
     assert statistics.discrimination(two, "score", F.col("known"), "lang").first()["passed"]
+
+
+def test_attributions_benchmark_and_requests(spark):
+    import json
+
+    from plumbline.operators import attribution, benchmark
+
+    files = code.samples(spark)
+    m = model.synthetic()
+    units = code.unit_table(files, "file_id").where("unit_idx = 0")
+    rows = attribution.attributions(code.evaluate_files(files, "file_id", m), model.project(units, "features", m), "file_id", units)
+    first = [r for r in rows.collect() if r["file_id"] == 1]
+    assert [r["place"] for r in first] == list(range(5)) and len(first[0]["features"]) == 3 and not first[4]["available"] and first[0]["unit"] == "scan"
+    assert json.loads(attribution.to_json(rows, "file_id").where("file_id = 1").first()["attribution"])[0]["dimension"] == "manifold_drift"
+    out = benchmark.run(benchmark.evaluated_projects(files))
+    assert {r["name"] for r in out["targets"].collect()} == {"sc_001_file_count", "sc_002_impl_vs_init_gap", "sc_003_dimension_discrimination"}
+    assert sum(r["n"] for r in out["categories"].collect()) == len(SAMPLES)
+    assert [r["label"] for r in benchmark.evaluate_regions(files, "file_id").where("file_id = 2").orderBy("region_idx").collect()] == ["production", "test"]
+    body = json.dumps({"files": [{"source": "x = 1\n" * 30, "language": "python", "file_path": "a"}, {"source": "y" * (benchmark.MAX_FILE_BYTES + 1), "language": "python", "file_path": "b"}]})
+    got = {r["file_path"]: r for r in benchmark.evaluate_requests(spark.createDataFrame([(body,)], "j string"), "j").collect()}
+    assert got["a"]["score"] is not None and got["b"]["warning"] == "file too large" and got["b"]["score"] is None

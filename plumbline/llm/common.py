@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -24,7 +26,9 @@ def shared_dir(spark: SparkSession) -> str:
     if app not in _own:
         if not spark.sparkContext.master.startswith(("local[", "local")) or "cluster" in spark.sparkContext.master:
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="plumbline-")
+        folder = tempfile.mkdtemp(prefix="plumbline-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own[app] = "file://" + folder
     return _own[app]
 
 
@@ -59,6 +63,11 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def cleanup(spark: SparkSession) -> None:
+    """Delete all tables that this module has written in the shared folder, once their readers are done."""
+    delete(spark, f"{shared_dir(spark)}/plumbline")
+
+
 def hot_keys(counted: DataFrame, n: str, total: int) -> DataFrame:
     """Rows of ``counted`` (one a key, ``n`` its rows of ``total``) whose key is hot: fewer than HOT_SHARE rows, whatever the input, so they can be broadcast."""
     return counted.where(F.col(n) > max(HOT_SHARE, total // HOT_SHARE))

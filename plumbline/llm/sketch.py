@@ -24,9 +24,9 @@ from plumbline.llm import common
 WORDS = 5
 SCALE = 4
 BREAK = r"[\x20\x09-\x0D]+"
-#: Ranges of the order of identifiers: one a so many rows, MAX_RANGES at most (their first identifiers are a broadcast list).
-RANGE_ROWS = 2_000
-MAX_RANGES = 4_096
+#: The order of identifiers is cut into ranges of about so many rows.  Up to BOUNDS bounds are quantiles, each stretch
+#: between two is cut evenly; the table of the ranges' first identifiers has a row a range and is broadcast up to MAX_RANGES.
+RANGE_ROWS, BOUNDS, MAX_RANGES = 2_000, 256, 1 << 20
 
 
 def shingle_hashes(text: Column, words: int = WORDS) -> Column:
@@ -86,19 +86,27 @@ def with_next(docs: DataFrame, id_col: str, carried: list[str], text_col: str) -
     The rows are cut into ranges of ids, each ordered in one window; a range's first row also
     goes to the range before it, as that one's last neighbour.  No window holds the whole table.
     """
-    spark = docs.sparkSession
     ids = docs.select(id_col)
     n = common.total_rows(ids)
     ranges = max(1, min(MAX_RANGES, n // RANGE_ROWS))
-    cuts = ids.agg(F.percentile_approx(id_col, [k / ranges for k in range(1, ranges)] or [0.5], 10 * MAX_RANGES).alias("c")).first()["c"] or []
-    bounds = sorted(set(cuts)) if ranges > 1 else []
-    bucket = (
-        F.when(F.col(id_col).isNull(), F.lit(len(bounds) + 1)).otherwise(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(id_col))) if bounds else F.lit(0))
-    )
-    starts = {r["b"]: r["m"] for r in ids.select(bucket.alias("b"), id_col).groupBy("b").agg(F.min(id_col).alias("m")).collect()}  # at most MAX_RANGES + 1 rows
-    order = sorted(starts)
-    before = [(b, starts[b], order[k - 1]) for k, b in enumerate(order)] or [(0, None, 0)]
-    heads = spark.createDataFrame(before, f"b int, start {dict(docs.dtypes)[id_col]}, prior int")
+    coarse = min(BOUNDS, ranges)
+    found = ids.agg(F.percentile_approx(id_col, [k / coarse for k in range(coarse + 1)], 10_000).alias("c")).first()["c"] if n else None
+    bounds = sorted(set(found or []))
+    fine = -(-ranges // coarse)
+    if len(bounds) < 2:
+        place = F.lit(0)
+    else:
+        cuts = F.array(*map(F.lit, bounds))
+        k = F.least(F.greatest(F.size(F.filter(cuts, lambda b: b <= F.col(id_col))) - 1, F.lit(0)), F.lit(len(bounds) - 2))
+        low, high = F.get(cuts, k).cast("double"), F.get(cuts, k + 1).cast("double")
+        part = F.floor((F.col(id_col).cast("double") - low) / (high - low) * fine).cast("int")
+        place = k * fine + F.least(F.greatest(part, F.lit(0)), F.lit(fine - 1))
+    # null identifiers come last, in a range of their own
+    bucket = F.when(F.col(id_col).isNull(), F.lit(len(bounds) * fine + 1)).otherwise(place).cast("int")
+    starts = ids.select(bucket.alias("b"), id_col).groupBy("b").agg(F.min(id_col).alias("start"))  # a row a range
+    order = Window.orderBy("b")
+    last = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    heads = starts.select("b", "start", F.coalesce(F.lag("b").over(order), last).alias("prior"))  # the first range's head goes to the last
     own = docs.withColumn("b", bucket).join(F.broadcast(heads), "b")
     # order inside a bucket: rank 0 own rows, rank 1 the head of the next bucket
     head = F.col(id_col).eqNullSafe(F.col("start"))

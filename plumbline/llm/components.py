@@ -27,9 +27,10 @@ def connected_components(links: DataFrame) -> DataFrame:
     edges = common.written(edges, "components")
     mark = None
     while True:
-        nxt = common.written(_star(common.written(_star(edges, True), "components"), False), "components")
+        half = common.written(_star(edges, True), "components")
+        nxt = common.written(_star(half, False), "components")
         now = nxt.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        common.dropped(edges)
+        common.dropped(edges, half)
         edges = nxt
         if mark == now:
             break

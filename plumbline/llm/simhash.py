@@ -40,13 +40,18 @@ from plumbline.llm import common
 from plumbline.llm.components import connected_components
 
 WORDS, RADIUS, SEED = 3, 3, 42
-#: Variants that one group of the meeting may hold on average: 16 bytes each.
+#: Variants that one group of the meeting may hold on average: 10 bytes each.
 GROUP_ROWS = 1_000_000
+#: Variants that one task emits on average.
+TASK_ROWS = 4_000_000
 #: Fingerprints expanded at once in a task.
 CHUNK = 2_048
 
 _SINGLE = np.array([1 << k for k in range(64)], np.uint64)
 _PAIRS = np.array([(1 << a) | (1 << b) for half in (range(32), range(32, 64)) for a, b in combinations(half, 2)], np.uint64)
+#: All flips by their number: 64 single bits, none, pairs.  A variant and the number of its flip give its fingerprint.
+_FLIPS = np.concatenate([_SINGLE, np.zeros(1, np.uint64), _PAIRS])
+_INNER = 65
 
 
 def fingerprint(text: str | None) -> int:
@@ -83,30 +88,29 @@ def with_fingerprint(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return narrow.mapInArrow(compute, f"id {dict(docs.dtypes)[id_col]}, fp long")
 
 
-def variants(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(variant, fingerprint, inner): inner is false for the pair flips of an odd fingerprint."""
+def variants(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(variant, number of the flip that made it) of all fingerprints."""
     odd = (np.bitwise_count(fps) & 1).astype(bool)
-    o = fps[odd]
-    ones, pairs = fps[:, None] ^ _SINGLE, o[:, None] ^ _PAIRS
-    v = np.concatenate([ones.ravel(), o, pairs.ravel()])
-    f = np.concatenate([np.repeat(fps, 64), o, np.repeat(o, len(_PAIRS))])
-    inner = np.ones(len(v), bool)
-    inner[len(v) - pairs.size :] = False
-    return v, f, inner
+    few, many = fps[~odd], fps[odd]
+    v = np.concatenate([(few[:, None] ^ _SINGLE).ravel(), (many[:, None] ^ _FLIPS).ravel()])
+    flip = np.concatenate([np.tile(np.arange(64, dtype=np.uint16), len(few)), np.tile(np.arange(len(_FLIPS), dtype=np.uint16), len(many))])
+    return v, flip
 
 
-def meetings(v: np.ndarray, f: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def meetings(v: np.ndarray, flip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Verified links (hub, member) of all that meet on equal variants."""
     order = np.argsort(v, kind="stable")
-    v, f, inner = v[order], f[order], inner[order]
+    v, flip = v[order], flip[order]
     new = np.concatenate(([True], v[1:] != v[:-1])) if len(v) else np.zeros(0, bool)
+    shared = ~new
+    shared[:-1] |= ~new[1:]
+    v, flip, new = v[shared], flip[shared], new[shared]
     group = np.cumsum(new) - 1
-    sizes = np.bincount(group) if len(v) else np.zeros(0, np.int64)
-    shared = sizes[group] > 1
-    f, inner, group = f[shared], inner[shared], group[shared]
-    hub = np.full(len(sizes), np.uint64(2**64 - 1))
+    f, inner = v ^ _FLIPS[flip], flip < _INNER
+    n = int(group[-1]) + 1 if len(group) else 0
+    hub = np.full(n, np.uint64(2**64 - 1))
     np.minimum.at(hub, group[inner], f[inner])
-    has = np.zeros(len(sizes), bool)
+    has = np.zeros(n, bool)
     has[group[inner]] = True
     a, b = hub[group], f
     good = has[group] & (a != b) & (np.bitwise_count(a ^ b) <= RADIUS)
@@ -117,7 +121,7 @@ def meetings(v: np.ndarray, f: np.ndarray, inner: np.ndarray) -> tuple[np.ndarra
 def links(fps: DataFrame, n: int) -> DataFrame:
     """Links (a, b) between the ``n`` distinct fingerprints of ``fps`` such that exactly the linked ones are connected.
 
-    Variants travel as binary blocks, one a group of variants and chunk of fingerprints: 17 bytes
+    Variants travel as binary blocks, one a group of variants and chunk of fingerprints: 10 bytes
     a variant, without a row's overhead.  The number of groups grows with ``n``.
     """
     groups = max(1, math.ceil(n * 561 / GROUP_ROWS))
@@ -126,28 +130,28 @@ def links(fps: DataFrame, n: int) -> DataFrame:
         for b in batches:
             all_ = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for k in range(0, len(all_), CHUNK):
-                v, f, inner = variants(all_[k : k + CHUNK])
+                v, flip = variants(all_[k : k + CHUNK])
                 part = (((v * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(groups)).astype(np.uint32)
                 order = np.argsort(part, kind="stable")
-                v, f, inner, part = v[order], f[order], inner[order], part[order]
+                v, flip, part = v[order], flip[order], part[order]
                 cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.zeros(0, np.int64)
                 end = np.append(cut[1:], len(part))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(part[cut].astype(np.int32)),
                         pa.array([v[s:e].tobytes() for s, e in zip(cut, end, strict=True)], pa.binary()),
-                        pa.array([f[s:e].tobytes() for s, e in zip(cut, end, strict=True)], pa.binary()),
-                        pa.array([inner[s:e].tobytes() for s, e in zip(cut, end, strict=True)], pa.binary()),
+                        pa.array([flip[s:e].tobytes() for s, e in zip(cut, end, strict=True)], pa.binary()),
                     ],
-                    names=["part", "v", "f", "inner"],
+                    names=["part", "v", "flip"],
                 )
 
     def meet(key: tuple, table: pa.Table) -> pa.Table:
         join = lambda c, t: np.frombuffer(b"".join(table.column(c).to_pylist()), t)
-        a, b = meetings(join("v", np.uint64), join("f", np.uint64), join("inner", np.bool_))
+        a, b = meetings(join("v", np.uint64), join("flip", np.uint16))
         return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
 
-    blocks = fps.select("fp").mapInArrow(emit, "part int, v binary, f binary, inner binary")
+    tasks = max(1, math.ceil(n * 561 / TASK_ROWS))
+    blocks = fps.select("fp").repartition(tasks, "fp").mapInArrow(emit, "part int, v binary, flip binary")
     return blocks.groupBy("part").applyInArrow(meet, "a long, b long").distinct()
 
 

@@ -79,27 +79,36 @@ def _combine(name: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _emitter(groups: int):
-    """Unfold spans into rank pairs; blocks (part, names, owners), and part -1 with the owners that are settled."""
+    """Unfold spans into rank pairs; blocks (part, names, owners), those of settled owners without names.
+
+    Equal windows own anchors of equal rank, so a rank's spans meet in one group; a rank with very many kinds of
+    spans is dealt to ``subs`` groups by its names.
+    """
     half = T // 2
 
-    def blocks(name: np.ndarray, owner: np.ndarray) -> pa.RecordBatch:
-        name, owner, settled = _combine(name, owner)
-        part = ((name >> np.uint64(20)) % np.uint64(groups)).astype(np.int32)
+    def cut_up(part: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[list[bytes]]]:
         order = np.argsort(part, kind="stable")
-        name, owner, part = name[order], owner[order], part[order]
-        cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+        part = part[order]
+        cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.zeros(0, np.int64)
         end = np.append(cut[1:], len(part))
-        parts, names = part[cut].tolist(), [name[s:e].tobytes() for s, e in zip(cut, end, strict=True)]
-        owners = [owner[s:e].tobytes() for s, e in zip(cut, end, strict=True)]
-        for k in range(0, len(settled), 65536):  # settled owners travel in blocks too, spread over the groups
-            parts.append((k // 65536) % groups)
-            names.append(b"")
-            owners.append(settled[k : k + 65536].tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(names, pa.binary()), pa.array(owners, pa.binary())], names=["part", "names", "owners"])
+        return part[cut], [[c[order][s:e].tobytes() for s, e in zip(cut, end, strict=True)] for c in columns]
+
+    def blocks(name: np.ndarray, owner: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(name, kind="stable")
+        name, owner, part = name[order], owner[order], part[order]
+        new = np.concatenate(([True], name[1:] != name[:-1]))
+        repeated = ~new
+        repeated[:-1] |= ~new[1:]
+        parts, (names, owners) = cut_up(part[new], name[new], owner[new])
+        more, (settled,) = cut_up(part[repeated], owner[repeated])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([parts, more]), pa.int32()), pa.array(names + [b""] * len(more), pa.binary()), pa.array(owners + settled, pa.binary())], names=["part", "names", "owners"]
+        )
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name: list[np.ndarray] = []
         owner: list[np.ndarray] = []
+        part: list[np.ndarray] = []
         held = 0
         for b in batches:
             for k in range(b.num_rows):
@@ -109,14 +118,17 @@ def _emitter(groups: int):
                     cut = raw[lo : hi + T]
                     a, c = Rolling(cut, 0).every(half), Rolling(cut, 1).every(half)
                     n = hi - lo + 1
-                    name.append(mix(a[:n] ^ mix(c[half : half + n] + np.uint64(s["seed"] % 2**64))))
+                    seed = np.uint64(s["seed"] % 2**64)
+                    pair = mix(a[:n] ^ mix(c[half : half + n] + seed))
+                    name.append(pair)
+                    part.append(((seed + (pair >> np.uint64(20)) % np.uint64(s["subs"])) % np.uint64(groups)).astype(np.int32))
                     owner.append(np.uint64(s["rep"]) * np.uint64(256) + np.arange(n, dtype=np.uint64))
                     held += n
                     if held >= CHUNK:
-                        yield blocks(np.concatenate(name), np.concatenate(owner))
-                        name, owner, held = [], [], 0
+                        yield blocks(np.concatenate(name), np.concatenate(owner), np.concatenate(part))
+                        name, owner, part, held = [], [], [], 0
         if held:
-            yield blocks(np.concatenate(name), np.concatenate(owner))
+            yield blocks(np.concatenate(name), np.concatenate(owner), np.concatenate(part))
 
     return emit
 
@@ -192,8 +204,9 @@ def removed_spans(docs: DataFrame, text_col: str, with_text: bool = False) -> tu
 
     # 64-byte ranks: drop the unique ones
     seeds = ranked.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), (F.min("span") != F.max("span")).alias("mixed")).where("n > 1").select("seed", "mixed")
+    seeds = common.written(seeds, "suffix-seeds")  # so that the join below is one that Spark can split where a seed is frequent
     left = common.written(ranked.join(seeds, "seed"), "suffix-left")
-    common.dropped(ranked)
+    common.dropped(ranked, seeds)
     # spans: equal ones are settled; one of each kind under a mixed rank is unfolded
     kinds = left.groupBy("seed", "span").agg(
         F.count(F.lit(1)).alias("n"), F.first("mixed").alias("mixed"), *[F.first(c).alias(c) for c in ("t1", "t2", "lo", "hi")]
@@ -201,8 +214,11 @@ def removed_spans(docs: DataFrame, text_col: str, with_text: bool = False) -> tu
     kinds = common.written(kinds.where("n > 1 OR mixed").withColumn("rep", F.monotonically_increasing_id()), "suffix-kinds")
     settled = left.join(kinds.where("n > 1").select("seed", "span"), ["seed", "span"], "left_semi").select("t1", "t2", "lo", "hi")
     unfold = kinds.where("mixed")
-    # identifiers of a written table need few bits: its tasks' numbers times 2**33
-    wanted = unfold.groupBy("t1", "t2").agg(F.collect_list(F.struct("seed", "lo", "hi", "rep")).alias("spans"))
+    # ranks of so many positions that they would fill a group for themselves
+    crowd = unfold.groupBy("seed").agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("p")).where(F.col("p") > GROUP_ROWS)
+    crowd = common.written(crowd.select("seed", F.ceil(F.col("p") / GROUP_ROWS).alias("subs")), "suffix-crowd")
+    dealt = unfold.join(crowd, "seed", "left").withColumn("subs", F.coalesce("subs", F.lit(1)).cast("long"))
+    wanted = dealt.groupBy("t1", "t2").agg(F.collect_list(F.struct("seed", "lo", "hi", "rep", "subs")).alias("spans"))
     positions = int(unfold.agg(F.sum(F.col("hi") - F.col("lo") + 1)).first()[0] or 0)
     groups = max(1, math.ceil(positions / GROUP_ROWS))
     blocks = texts.select("t1", "t2", "text").join(wanted, ["t1", "t2"]).select("text", "spans").mapInArrow(_emitter(groups), "part int, names binary, owners binary")

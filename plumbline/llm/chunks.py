@@ -8,19 +8,33 @@ white space (runs of it, tabs, no-break spaces ...) are encoded as a whole.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
 #: Distinct chunks a process remembers (about 150 bytes each); beyond that it starts anew.
-POOL = 400_000
+POOL = 800_000
+_INNER_SPACE = re.compile(r".\s", re.S).search
+
+
+def flattened(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all lists in a row, and the lists' sizes."""
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum())), sizes
 
 
 class ChunkPool:
-    """Encodes texts through ``encode(list of strings) -> list of id lists``, once a distinct chunk."""
+    """Encodes texts, once a distinct chunk.
+
+    ``encode`` takes whole texts and gives a list of ids of each; ``encode_chunks`` takes chunks (a word after a space, a
+    newline or nothing) and gives the ids in a row with the sizes.
+    """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = POOL):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], encode_chunks: Callable[[list[str]], tuple[np.ndarray, np.ndarray]] | None = None, limit: int = POOL):
         self.encode, self.limit = encode, limit
+        self.encode_chunks = encode_chunks or (lambda chunks: flattened(encode(chunks)))
         self._reset()
 
     def _reset(self) -> None:
@@ -32,25 +46,23 @@ class ChunkPool:
         self.flat = np.zeros(1 << 14, np.int32)
         self.used = 0
 
-    def _add(self, keys: list[str], ids: list[list[int]]) -> None:
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(sizes.sum())
-        while self.count + len(ids) > len(self.sizes):
+    def _add(self, keys: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        total, n = len(ids), len(keys)
+        while self.count + n > len(self.sizes):
             self.sizes, self.starts = np.concatenate([self.sizes, self.sizes * 0]), np.concatenate([self.starts, self.starts * 0])
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, self.flat * 0])
-        self.sizes[self.count : self.count + len(ids)] = sizes
-        self.starts[self.count : self.count + len(ids)] = self.used + np.cumsum(sizes) - sizes
-        self.flat[self.used : self.used + total] = np.fromiter((x for y in ids for x in y), np.int32, total)
-        self.index.update(zip(keys, range(self.count, self.count + len(ids)), strict=True))
-        self.count += len(ids)
+        self.sizes[self.count : self.count + n] = sizes
+        self.starts[self.count : self.count + n] = self.used + np.cumsum(sizes) - sizes
+        self.flat[self.used : self.used + total] = ids
+        self.index.update(zip(keys, range(self.count, self.count + n), strict=True))
+        self.count += n
         self.used += total
 
     @staticmethod
     def _odd(part: str) -> bool:
         """Whether a chunk holds white space besides one leading newline."""
-        body = part[1:] if part[:1] == "\n" else part
-        return len(body.split()) > 1 or body != body.strip()
+        return _INNER_SPACE(part) is not None or part[0] != "\n" and part[0].isspace()
 
     def _parts(self, text: str) -> list[str] | None:
         """Keys of the text's chunks, or None if the text must be encoded as a whole.  A key without newline stands for a chunk with one leading space, except at the text's start: there a NUL marks it."""
@@ -76,7 +88,7 @@ class ChunkPool:
         for p in cut:
             if p:
                 seen.update(p)
-        fresh = [x for x in seen if x not in self.index and x not in self.dirty]
+        fresh = sorted(seen.difference(self.index, self.dirty))
         del seen
         good = []
         for x in fresh:
@@ -85,7 +97,7 @@ class ChunkPool:
             else:
                 good.append(x)
         if good:
-            self._add(good, self.encode([x[1:] if x[0] == "\0" else x if x[0] == "\n" else " " + x for x in good]))
+            self._add(good, *self.encode_chunks([x[1:] if x[0] == "\0" else x if x[0] == "\n" else " " + x for x in good]))
         out: list[np.ndarray] = []
         get = self.index.get
         whole: list[int] = []

@@ -34,11 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import common
-from plumbline.llm.chunks import ChunkPool
+from plumbline.llm.chunks import ChunkPool, flattened
 
 TIERS = (1024, 512, 256)
 BUFFER = 2_048
 STEP_TOKENS = 64 * 1024
+#: Chunks that are encoded as one text.
+LINES = 2_048
 
 _ready: dict[str, ChunkPool] = {}
 
@@ -51,10 +53,37 @@ def token_pool(path: str) -> ChunkPool:
 
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True
-        _ready[path] = ChunkPool(lambda texts: [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)])
+        _ready[path] = ChunkPool(lambda texts: [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)], _joined_encoder(t))
     return _ready[path]
 
 
+def _joined_encoder(t) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
+    """Encode many chunks as few texts, a line each: a lone newline between two of them is a token of its own that ends a chunk's ids."""
+    line = t.encode("\n", add_special_tokens=False).ids
+    if len(line) != 1:
+        return lambda chunks: flattened([e.ids for e in t.encode_batch_fast(chunks, add_special_tokens=False)])
+
+    def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        bodies = [c[1:] if c[0] == "\n" else c for c in chunks]
+        texts = ["\n".join(bodies[k : k + LINES]) + "\n" for k in range(0, len(bodies), LINES)]
+        ids = np.concatenate([np.array(e.ids, np.int32) for e in t.encode_batch_fast(texts, add_special_tokens=False)])
+        ends = np.flatnonzero(ids == line[0])
+        if len(ends) != len(chunks):  # a chunk that holds the newline's token: encode each for itself
+            return flattened([e.ids for e in t.encode_batch_fast(chunks, add_special_tokens=False)])
+        own = np.fromiter((c[0] == "\n" for c in chunks), bool, len(chunks))
+        sizes = np.diff(ends, prepend=-1) - 1 + own
+        # the newline that ended the line before stands for the chunk's own; others go
+        keep = np.ones(len(ids) + 1, bool)
+        keep[ends + 1] = False
+        starts = np.concatenate(([0], ends[:-1] + 1))
+        ids = np.concatenate([np.array(line, np.int32), ids])  # now a newline precedes every chunk, at ``starts``
+        keep[0] = False
+        keep[starts[own]] = True
+        return ids[keep], sizes
+
+    return encode
+
+
 class Packer:
     """Packs pieces (document, start, ids) given one at a time; ``emit`` gets (tier, step group, pieces) of every finished window."""
 

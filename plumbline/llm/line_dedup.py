@@ -37,6 +37,8 @@ BLOCK = 64
 #: Bits of the filter of line hashes: broadcast, 8 MB at most; with more lines than FILTER_LINES it is left out.
 FILTER_BITS, FILTER_LINES = 1 << 26, 1 << 23
 _BUCKET = 32768
+#: Lines whose neighbourhoods one task emits.
+TASK_LINES = 4_000
 _PLACE = ["none", "id", "doc", "pos"]
 
 
@@ -83,39 +85,30 @@ def _sifted(lines: DataFrame, wanted: DataFrame, count: int) -> DataFrame:
     return placed.join(F.broadcast(bits), "bucket").where(F.getbit(byte, at % 8) == 1).drop("bucket", "bits")
 
 
-def _variants(line: Column, n: Column, front: Column, back: Column) -> Column:
-    """Keys of a line's deletion neighbourhood.  ``front``, ``back``: whether the edit can be in the first, the last half."""
-    blocks = F.ceil(n / BLOCK).cast("int")
-    piece = lambda a, size: F.substring(line, a, size)  # noqa: E731  from 1
-    # positions (from 0) at which an edit can be: a half, with one position to spare on either side
-    low = F.when(front, F.lit(0)).otherwise(F.greatest(F.lit(0), ((n - 1) / 2).cast("int") - 1))
-    high = F.when(back, n).otherwise(F.least(n, (n / 2).cast("int") + 2))
-
-    def bound(value: Column, use) -> Column:
-        """``use`` of a value that is computed once."""
-        return F.flatten(F.transform(F.array(value), use))
-
-    def deleted(i: Column) -> Column:
-        begin = i * BLOCK
-        frame = F.xxhash64(piece(F.lit(1), begin), piece(begin + BLOCK + 1, n), n - 1, i)
-
-        def each(s: Column) -> Column:
-            mid, around = s["mid"], s["frame"]
-            js = F.filter(F.sequence(F.lit(0), F.char_length(mid) - 1), lambda j: (begin + j >= low) & (begin + j < high))
-            key = lambda j: F.xxhash64(F.concat(F.substring(mid, F.lit(1), j), F.substring(mid, j + 2, F.lit(BLOCK))), around)
-            two = lambda j: bound(key(j), lambda k: F.array(F.struct(k.alias("key"), (begin + j).alias("j")), F.struct(k.alias("key"), F.lit(-1).alias("j"))))
-            return F.flatten(F.transform(js, two))
-
-        return bound(F.struct(frame.alias("frame"), piece(begin + 1, F.lit(BLOCK)).alias("mid")), each)
+def _variants(near: DataFrame, carried: list[str]) -> DataFrame:
+    """(carried, key, spot, kind): keys of the deletion neighbourhoods of ``near`` lines.
 
-    def whole(i: Column) -> Column:
-        begin = i * BLOCK
-        frame = F.xxhash64(piece(F.lit(1), begin), piece(begin + BLOCK, n), n, i)
-        return F.struct(F.xxhash64(piece(begin + 1, F.lit(BLOCK - 1)), frame).alias("key"), F.lit(-2).alias("j"))
-
-    of_deletions = F.flatten(F.transform(F.sequence(F.lit(0), blocks - 1), deleted))
-    own = F.transform(F.sequence(F.lit(0), F.ceil((n + 1) / BLOCK).cast("int") - 1), whole)
-    return F.concat(of_deletions, own)
+    Kind 0 is the line without its character ``spot``; kind 1 the same for any place (spot -1); kind 2 the line itself
+    as what is left of a longer one.  ``front``, ``back`` tell whether the edit can be in the first, the last half.
+    """
+    n, line, i = F.char_length("line"), F.col("line"), F.col("i")
+    begin = i * BLOCK
+    # positions (from 0) at which an edit can be: a half, with one position to spare on either side
+    low = F.when(F.col("front"), F.lit(0)).otherwise(F.greatest(F.lit(0), ((n - 1) / 2).cast("int") - 1))
+    high = F.when(F.col("back"), n).otherwise(F.least(n, (n / 2).cast("int") + 2))
+    blocks = near.select(*carried, "line", low.alias("low"), high.alias("high"), F.explode(F.sequence(F.lit(0), F.ceil(n / BLOCK).cast("int") - 1)).alias("i"))
+    mid = F.substring(line, begin + 1, F.lit(BLOCK))
+    frame = F.xxhash64(F.substring(line, F.lit(1), begin), F.substring(line, begin + BLOCK + 1, n), n - 1, i)
+    framed = blocks.select(
+        *carried, begin.alias("begin"), mid.alias("mid"), frame.alias("frame"), F.greatest(F.col("low") - begin, F.lit(0)).alias("lo"), (F.least(F.col("high") - begin, F.char_length(mid)) - 1).alias("hi")
+    ).where("lo <= hi")
+    each = framed.select(*carried, "begin", "mid", "frame", F.explode(F.sequence("lo", "hi")).alias("j"))
+    key = F.xxhash64(F.concat(F.substring(F.col("mid"), F.lit(1), F.col("j")), F.substring(F.col("mid"), F.col("j") + 2, F.lit(BLOCK))), F.col("frame"))
+    cut = each.select(*carried, key.alias("key"), F.explode(F.array(F.col("begin") + F.col("j"), F.lit(-1))).alias("spot"))
+    cut = cut.withColumn("kind", F.when(F.col("spot") >= 0, 0).otherwise(1))
+    own = near.select(*carried, "line", F.explode(F.sequence(F.lit(0), F.ceil((n + 1) / BLOCK).cast("int") - 1)).alias("i"))
+    whole = F.xxhash64(F.substring(line, begin + 1, F.lit(BLOCK - 1)), F.xxhash64(F.substring(line, F.lit(1), begin), F.substring(line, begin + BLOCK, n), n, i))
+    return cut.unionByName(own.select(*carried, whole.alias("key"), F.lit(-1).alias("spot"), F.lit(2).alias("kind")))
 
 
 def _gone(lines: DataFrame, known: DataFrame) -> DataFrame:
@@ -125,27 +118,23 @@ def _gone(lines: DataFrame, known: DataFrame) -> DataFrame:
     shared = halves.groupBy("k").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("k")
     met = halves.join(shared, "k").groupBy("h1", "h2").agg(F.max(F.col("side") == 1).alias("front"), F.max(F.col("side") == 0).alias("back"))
     found = common.written(met, "lines-met")
-    texts = _sifted(lines.select("h1", "h2", "line"), found, common.total_rows(found)).join(found, ["h1", "h2"])
+    count = common.total_rows(found)
+    texts = _sifted(lines.select("h1", "h2", "line"), found, count).join(found, ["h1", "h2"])
     # copies of a line fall together in each task before anything is compared
-    near = common.written(
+    near = (
         texts.groupBy("h1", "h2").agg(F.first("line").alias("line"), F.first("front").alias("front"), F.first("back").alias("back"))
-        .join(known.select("h1", "h2", "first"), ["h1", "h2"]), "lines-near"
-    )
-    n = F.char_length("line")
-    keys = near.select("h1", F.explode(_variants(F.col("line"), n, F.col("front"), F.col("back"))).alias("v")).select("h1", "v.key", "v.j")
-    # replacements meet at one j; deletions (-1) meet the shorter line's own keys (-2)
-    spot = F.when(F.col("j") >= 0, F.col("j")).otherwise(-1)
-    clash = keys.groupBy("key", spot.alias("spot")).agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.max("j").alias("hi"), F.min("j").alias("lo"))
-    clash = common.written(clash.where("a <> b AND (spot >= 0 OR (hi = -1 AND lo = -2))").select("key", "spot"), "lines-clash")
-    members = (
-        near.select("h1", "h2", "first", F.explode(_variants(F.col("line"), n, F.col("front"), F.col("back"))).alias("v"))
-        .select("h1", "h2", "first", "v.key", "v.j").withColumn("spot", F.when(F.col("j") >= 0, F.col("j")).otherwise(-1)).join(clash, ["key", "spot"])
-    )
+        .join(known.select("h1", "h2", "first"), ["h1", "h2"])
+    )
+    near = common.written(near.repartition(count // TASK_LINES + 1, "h1"), "lines-near")
+    # replacements meet at one spot; deletions (kind 1) meet the shorter line's own keys (kind 2)
+    clash = _variants(near, ["h1"]).groupBy("key", "spot").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.min("kind").alias("lo"), F.max("kind").alias("hi"))
+    clash = common.written(clash.where("a <> b AND (spot >= 0 OR (lo = 1 AND hi = 2))").select("key", "spot"), "lines-clash")
+    members = _variants(near, ["h1", "h2", "first"]).join(clash, ["key", "spot"])
     members = common.written(members.withColumn("self", F.struct("first", "h1", "h2")), "lines-members")
     first = members.groupBy("key", "spot").agg(
-        F.min("self").alias("any"), F.min(F.when(F.col("j") == -1, F.col("self"))).alias("cut"), F.min(F.when(F.col("j") == -2, F.col("self"))).alias("own")
+        F.min("self").alias("any"), F.min(F.when(F.col("kind") == 1, F.col("self"))).alias("cut"), F.min(F.when(F.col("kind") == 2, F.col("self"))).alias("own")
     )
-    rival = F.when(F.col("spot") >= 0, F.col("any")).when(F.col("j") == -1, F.col("own")).otherwise(F.col("cut"))
+    rival = F.when(F.col("kind") == 0, F.col("any")).when(F.col("kind") == 1, F.col("own")).otherwise(F.col("cut"))
     best = members.join(first, ["key", "spot"]).groupBy("h1", "h2").agg(F.min("first").alias("first"), F.min(rival).alias("rival")).where("rival.first < first")
     other = near.select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), F.col("line").alias("earlier"))
     checked = (

@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import common
 from plumbline.llm.components import connected_components
+from plumbline.llm.near_copies import near_copies
 
 WORDS, RADIUS, SEED = 3, 3, 42
 #: Variants that one group of the meeting may hold on average: 10 bytes each.
@@ -172,8 +173,9 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` of which the identifier is its component's smallest; rows without identifier stay.  Of rows that repeat that identifier one stays."""
-    firsts = simhash_components(docs, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_keep")).distinct()
+    """The rows of ``docs`` of which the identifier is the smallest of its component of :func:`near_copies`; rows without identifier stay.  Of rows that repeat that identifier one stays."""
+    rows = common.written(near_copies(docs, id_col, text_col), "near-components")
+    firsts = rows.groupBy("component").agg(F.min("id").alias("_keep")).where("_keep IS NOT NULL").select("_keep").distinct()
     unique = docs.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
     stay = unique.join(firsts, F.col(id_col) == F.col("_keep"), "left_semi")
     return stay.unionByName(docs.where(F.col(id_col).isNull()))

@@ -335,6 +335,32 @@ def test_drop_near_copies(spark, rows):
     assert ids[0] == 1 and ids[10] == 0 and ids[20] == 0 and ids[None] == 2 and ids[23] == 1 and ids[24] == 0
 
 
+def jaccard(a, b):
+    a, b = ({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(a & b) / len(a | b)
+
+
+def test_drop_near_copies_reaches_similarity(spark):
+    rng = random.Random(17)
+    made, k = [], 0
+    for _ in range(30):
+        words = prose(rng, 200).split()
+        for edits in (0, 1, 3, 4, 12):  # of 196 shingles an edit changes five
+            for at in rng.sample(range(8, 192), edits):
+                words[at] = f"new{k}x{at}"
+            made.append((k, " ".join(words)))
+            k += 1
+    root = {i: i for i, _ in made}
+    for i, a in made:
+        for j, b in made[:i]:
+            if jaccard(a, b) >= 0.8:
+                low, high = sorted((root[i], root[j]))
+                root = {n: low if r == high else r for n, r in root.items()}
+    want = {i for i, r in root.items() if i == r}
+    assert len(want) < len(made) / 2
+    assert {r["doc_id"] for r in simhash.drop_near_copies(docs(spark, made)).collect()} == want
+
+
 # --- 8 ---
 
 

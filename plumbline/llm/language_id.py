@@ -34,6 +34,10 @@ WIDTHS = (2, 3, 4)
 FILTERS = 8
 PER_LANGUAGE, MAX_LANGUAGES, WINDOWS_EACH = 1_500, 64, 2
 EPOCHS, BATCH, RATE = 8, 128, 0.015
+#: Texts taken at once in a task.
+TASK_BATCH = 500
+#: For the gate: held-out documents a language that are looked at; how many it needs and what share must be right; a sure score; the highest floor.
+HELD_EACH, HELD_LEAST, HELD_RIGHT, SURE, HIGHEST_FLOOR = 300, 10, 0.9, 0.9, 0.5
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -172,25 +176,64 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 def predict(rows: DataFrame, carried: list[str], model: ByteCNN | None, text_col: str = "text") -> DataFrame:
     """``carried`` columns, lang_pred and score of every row."""
 
+    columns = list(dict.fromkeys([*carried, text_col]))  # a carried text travels once
+    at = columns.index(text_col)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = model.tables() if model else {}
-        for b in batches:
-            texts = b.column(len(carried)).to_pylist()
-            pred, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
-            known = [k for k, t in enumerate(texts) if model and t and _LETTER.search(t)]
-            blocks = [windows(texts[k].encode("utf-8", "replace")) for k in known]
-            for start, stop in _slices([len(x) for x in blocks], 256):
-                grid = np.concatenate(blocks[start:stop])
-                p = np.concatenate([model.probabilities(grid[i : i + 256], tables) for i in range(0, len(grid), 256)])
-                sizes = np.array([len(x) for x in blocks[start:stop]])
-                mean = np.add.reduceat(p, np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
-                for k, row in zip(known[start:stop], mean, strict=True):
-                    pred[k], score[k] = model.languages[int(row.argmax())], float(row.max())
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(carried))), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*carried, "lang_pred", "score"])
+        for whole in batches:
+            for first in range(0, whole.num_rows, TASK_BATCH):
+                b = whole.slice(first, TASK_BATCH)
+                texts = b.column(at).to_pylist()
+                pred, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
+                known = [k for k, t in enumerate(texts) if model and t and _LETTER.search(t)]
+                blocks = [windows(texts[k].encode("utf-8", "replace")) for k in known]
+                for start, stop in _slices([len(x) for x in blocks], 256):
+                    grid = np.concatenate(blocks[start:stop])
+                    p = np.concatenate([model.probabilities(grid[i : i + 256], tables) for i in range(0, len(grid), 256)])
+                    sizes = np.array([len(x) for x in blocks[start:stop]])
+                    mean = np.add.reduceat(p, np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
+                    for k, row in zip(known[start:stop], mean, strict=True):
+                        pred[k], score[k] = model.languages[int(row.argmax())], float(row.max())
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(carried))), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*carried, "lang_pred", "score"])
 
     types = dict(rows.dtypes)
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in carried), "lang_pred string", "score double"])
-    return rows.select(*carried, text_col).mapInArrow(run, schema)
+    return rows.select(*columns).mapInArrow(run, schema)
+
+
+@dataclass
+class Gate:
+    """Which documents a language filter takes out.  ``trusted``: languages that the network tells on held-out documents; ``floor``: a score that none of them is below."""
+
+    trusted: list[str]
+    floor: float
+
+    def keeps(self, label_col: str) -> Column:
+        """Over rows with lang_pred and score: False for no language, a sure contradiction of a trusted label, and a score below the floor where the label is trusted or missing."""
+        label = F.col(label_col)
+        trusted = F.coalesce(label.isin(self.trusted), F.lit(False))
+        contradicted = trusted & (F.col("lang_pred") != label) & (F.col("score") >= SURE)
+        low = (trusted | label.isNull()) & (F.col("score") < self.floor)
+        return (F.col("lang_pred") != UNKNOWN) & ~contradicted & ~low
+
+
+def gate(docs: DataFrame, model: ByteCNN, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Gate:
+    """The gate from at most HELD_EACH held-out documents of each language of ``model``, chosen by a hash of the identifier."""
+    held = docs.where((fold(id_col) == 2) & F.col(label_col).isin(model.languages)).select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.col(label_col).alias("label"))
+    sizes = held.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
+    spread = F.abs(F.xxhash64(F.col("_id"), F.lit("held")) % 1_000_000) / 1_000_000
+    thin = held.withColumn("_u", spread).join(F.broadcast(sizes), "label").where(F.col("_u") * F.col("_n") <= 1.2 * HELD_EACH)
+    order = Window.partitionBy("label").orderBy("_u", "_id", F.xxhash64("text"))
+    some = thin.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= HELD_EACH)
+    seen = predict(some, ["label"], model).where(F.col("lang_pred") != UNKNOWN).collect()  # bounded: HELD_EACH * MAX_LANGUAGES
+    trusted = []
+    for label in model.languages:
+        right = [r["lang_pred"] == label for r in seen if r["label"] == label]
+        if len(right) >= HELD_LEAST and sum(right) >= HELD_RIGHT * len(right):
+            trusted.append(label)
+    scores = [r["score"] for r in seen if r["label"] in trusted]
+    return Gate(trusted, min([HIGHEST_FLOOR, *scores]) if scores else 0.0)
 
 
 def _slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:

@@ -495,3 +495,18 @@ def test_pipeline(spark, tmp_path):
     assert clean | {3, 4} <= sizes[3]
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {"doc_id", "sequence_id", "offset"} <= set(out.columns) and {r["doc_id"] for r in out.collect()} == sizes[3]
+
+
+def test_pipeline_language_stage_rejects(spark):
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    words = {"aa": ["lorem", "ipsum", "dolor", "amet"], "bb": ["çağ", "ölü", "şu", "kız"], "cc": ["schiff", "zwölf", "straße", "bach"]}
+    say = lambda lang: " ".join(rng.choice(words[lang]) for _ in range(40))
+    clean = [(k, say(lang), lang, "s", 9) for k in range(1500) for lang in [rng.choice(list(words))]]
+    wrong = [(1800 + k, say("aa"), "bb", "s", 9) for k in range(4)]
+    other = [(2000, say("cc"), None, "s", 9), (2001, say("cc"), "zz", "s", 9), (2002, "12 ,", "aa", "s", 9), (2003, None, "aa", "s", 9)]
+    keep = lambda rows: {r["doc_id"] for r in corpus_pipeline.keep_languages(spark, spark.createDataFrame(rows, SCHEMA), "").collect()}
+    assert keep(clean + wrong + other) == set(range(1500)) | {2000, 2001}
+    blank = [(i, t, None, s, n) for i, t, _, s, n in clean[:20] + other]
+    assert keep(blank) == set(range(20)) | {2000, 2001}

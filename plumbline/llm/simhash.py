@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import common
 from plumbline.llm.components import connected_components
-from plumbline.llm.near_copies import near_copies
+from plumbline.llm.near_copies import near_copies, row_keys
 
 WORDS, RADIUS, SEED = 3, 3, 42
 #: Variants that one group of the meeting may hold on average: 10 bytes each.
@@ -173,9 +173,11 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` of which the identifier is the smallest of its component of :func:`near_copies`; rows without identifier stay.  Of rows that repeat that identifier one stays."""
+    """Of the rows of each component of :func:`near_copies`, the one with the smallest identifier stays, and of those without identifier, which copy each other only, one too.
+
+    Rows are told apart by identifier and text; of wholly equal ones one stays."""
     rows = common.written(near_copies(docs, id_col, text_col), "near-components")
-    firsts = rows.groupBy("component").agg(F.min("id").alias("_keep")).where("_keep IS NOT NULL").select("_keep").distinct()
-    unique = docs.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    stay = unique.join(firsts, F.col(id_col) == F.col("_keep"), "left_semi")
-    return stay.unionByName(docs.where(F.col(id_col).isNull()))
+    none = F.col("id").isNull()
+    stay = rows.groupBy("component", none.alias("none")).agg(F.min(F.struct("id", "u1", "u2")).alias("row")).select(F.col("row.u1").alias("_u1"), F.col("row.u2").alias("_u2"))
+    left = row_keys(docs, id_col, text_col).join(stay, ["_u1", "_u2"], "left_semi").dropDuplicates(["_u1", "_u2"])
+    return left.select(*docs.columns)

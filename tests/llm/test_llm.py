@@ -335,6 +335,14 @@ def test_drop_near_copies(spark, rows):
     assert ids[0] == 1 and ids[10] == 0 and ids[20] == 0 and ids[None] == 2 and ids[23] == 1 and ids[24] == 0
 
 
+def test_drop_near_copies_repeated_and_null_identifiers(spark):
+    rng = random.Random(23)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    made = [(1, a), (2, a), (2, b), (3, b), (4, c), (4, c), (None, c), (None, c), (None, b + " x"), (5, None), (6, "")]
+    got = Counter((r["doc_id"], r["text"]) for r in simhash.drop_near_copies(docs(spark, made)).collect())
+    assert got == Counter([(1, a), (2, b), (4, c), (None, c), (None, b + " x"), (5, None)])
+
+
 def jaccard(a, b):
     a, b = ({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
     return len(a & b) / len(a | b)

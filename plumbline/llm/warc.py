@@ -11,7 +11,7 @@ nodes that differ are looked at, so the work below the top follows the corruptio
 
 Edge cases.  Null url or html count as empty.  Null page identifiers form a file of their own (number
 -1).  Rows that repeat an identifier follow each other in the order of their bytes.  A record that one replica lacks
-is reported as missing there.  An empty table has no tree and no differences.
+is reported as missing there, with its place in the other; records are matched by identifier and hash, what is left by identifier in order.  An empty table has no tree and no differences.
 """
 
 from __future__ import annotations
@@ -91,23 +91,22 @@ class MerkleTree:
         # file numbers, from 0 on, are the order of the roots; the file without identifiers has -1
         top = self.files[-1].select((F.col("file_no") + 1).alias("idx"), "begin", "size", "hash")
         self.tops = [common.written(top, "warc-roots")]
-        last = self.tops[0].agg(F.max("idx")).first()[0] or 0
-        while last > 0:
+        last, least = (v or 0 for v in self.tops[0].agg(F.max("idx"), F.min("idx")).first())
+        while last > 0 or least < -1:  # nodes from 0 on end in node 0, negative ones in node -1
             self.tops.append(common.written(_parents(self.tops[-1], []), "warc-roots"))
-            last //= FANOUT
+            last, least = last // FANOUT, least // FANOUT
 
     def root(self) -> str | None:
-        got = self.tops[-1].first()
-        return got["hash"] if got else None
+        """The hash of the top node; with negative file numbers there may be two, joined."""
+        return "|".join(r["hash"] for r in self.tops[-1].orderBy("idx").collect()) or None
 
 
 def audit(a: MerkleTree, b: MerkleTree) -> DataFrame:
     """Records in which the replicas differ: file_no, idx, page_id, begin and size in a, hash_a, hash_b, finding."""
-    spark = a.records.sparkSession
     if len(a.tops) != len(b.tops) or len(a.files) != len(b.files):
         suspects = None  # trees of unlike height: compare from the records
     else:
-        suspects = spark.createDataFrame([(0,)], "idx long")
+        suspects = a.tops[-1].select("idx").unionByName(b.tops[-1].select("idx")).distinct()
         for x, y in zip(reversed(a.tops), reversed(b.tops), strict=True):
             suspects = _differing(x, y, suspects, ["idx"])
             if x is not a.tops[0]:
@@ -117,14 +116,29 @@ def audit(a: MerkleTree, b: MerkleTree) -> DataFrame:
             found = _differing(x, y, suspects, ["file_no", "idx"])
             suspects = common.written(found.select("file_no", F.explode(F.sequence(F.col("idx") * FANOUT, F.col("idx") * FANOUT + FANOUT - 1)).alias("idx")), "warc-suspects")
     left, right = a.records, b.records
+    columns = left.columns
     if suspects is not None:
         left, right = (x.join(suspects, ["file_no", "idx"], "left_semi") for x in (left, right))
-    keys = ["file_no", "idx"]
-    both = left.join(right.select(*keys, F.col("page_id").alias("page_b"), F.col("hash").alias("hash_b")), keys, "full")
+    # equal records meet wherever they are in the file, so a record that one replica lacks does not shift the others
+    left, right = (t.withColumn("_k", F.row_number().over(Window.partitionBy("file_no", "page_id", "hash").orderBy("idx"))) for t in (left, right))
+    only_a, only_b = _without(left, right, ["file_no", "page_id", "hash", "_k"]), _without(right, left, ["file_no", "page_id", "hash", "_k"])
+    turn = F.row_number().over(Window.partitionBy("file_no", "page_id").orderBy("idx"))
+    x, y = only_a.withColumn("_k", turn), only_b.withColumn("_k", turn).select([F.col(c).alias(f"{c}_b") for c in [*columns, "_k"]])
+    same = (F.col("file_no") == F.col("file_no_b")) & F.col("page_id").eqNullSafe(F.col("page_id_b")) & (F.col("_k") == F.col("_k_b"))
     finding = F.when(F.col("hash").isNull(), "missing in a").when(F.col("hash_b").isNull(), "missing in b").otherwise("differs")
-    return both.where(~F.col("hash").eqNullSafe(F.col("hash_b"))).select(
-        *keys, F.coalesce("page_id", "page_b").alias("page_id"), "begin", "size", F.col("hash").alias("hash_a"), "hash_b", finding.alias("finding")
-    )
+    return x.join(y, same, "full").select(
+        F.coalesce("file_no", "file_no_b").alias("file_no"), F.coalesce("idx", "idx_b").alias("idx"), F.coalesce("page_id", "page_id_b").alias("page_id"),
+        "begin", "size", F.col("hash").alias("hash_a"), "hash_b", finding.alias("finding"),
+    )
+
+
+def _without(x: DataFrame, y: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``x`` whose keys, null equal to null, are not in ``y``."""
+    other = y.select([F.col(k).alias(f"{k}_y") for k in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}_y"))
+    return x.join(other, same, "left_anti")
 
 
 def _differing(x: DataFrame, y: DataFrame, suspects: DataFrame, keys: list[str]) -> DataFrame:
@@ -140,5 +154,5 @@ def fixity(pages: DataFrame, replica: DataFrame) -> DataFrame:
         return a.records.select("file_no", "idx", "page_id", "begin", "size", F.col("hash").alias("record_sha256"), F.col("hash").alias("replica_sha256"), F.lit("ok").alias("finding"))
     found = common.written(audit(a, b), "warc-found")
     wrong = found.select("file_no", "idx", "page_id", "begin", "size", F.col("hash_a").alias("record_sha256"), F.col("hash_b").alias("replica_sha256"), "finding")
-    right = a.records.join(found.select("file_no", "idx"), ["file_no", "idx"], "left_anti")
+    right = a.records.join(found.where("hash_a IS NOT NULL").select("file_no", "idx"), ["file_no", "idx"], "left_anti")
     return right.select("file_no", "idx", "page_id", "begin", "size", F.col("hash").alias("record_sha256"), F.col("hash").alias("replica_sha256"), F.lit("ok").alias("finding")).unionByName(wrong)

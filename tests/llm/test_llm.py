@@ -482,6 +482,16 @@ def test_warc_audit(spark, monkeypatch):
     assert warc.fixity(a.where("false"), a.where("false")).count() == 0
 
 
+def test_warc_audit_missing_inside_and_negative(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_RECORDS", 40)
+    monkeypatch.setattr(warc, "FANOUT", 3)
+    a = pages(spark, [(k, f"http://h/{k}", f"<p>{k}</p>") for k in range(-500, 90) if k != 50] + [(None, "u", "n")])
+    b = pages(spark, [(k, f"http://h/{k}", "!" if k in (-450, 60) else f"<p>{k}</p>") for k in range(-500, 90) if k != 45] + [(None, "u", "n")])
+    found = warc.fixity(a, b).collect()
+    assert {(r["page_id"], r["finding"]) for r in found if r["finding"] != "ok"} == {(-450, "differs"), (60, "differs"), (45, "missing in b"), (50, "missing in a")}
+    assert len(found) == 591
+
+
 # --- the pipeline ---
 
 

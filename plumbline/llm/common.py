@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key is hot if it holds over 1/HOT_SHARE of the rows; so there are fewer than HOT_SHARE hot keys.
@@ -92,6 +92,41 @@ def need(df: DataFrame, columns: Iterable[str]) -> None:
         raise ValueError(f"missing columns {missing}; there are {df.columns}")
 
 
-def text_of(column: str = "text"):
+def text_of(column: str = "text") -> Column:
     """The text, null as empty."""
-    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+    return F.coalesce(named(column).cast("string"), F.lit(""))
+
+
+def named(column: str) -> Column:
+    """The column of exactly that name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def whole_row(docs: DataFrame) -> Column:
+    """All columns in one struct, ``row``: beside it, keys of any name clash with nothing."""
+    return F.struct(*map(named, docs.columns)).alias("row")
+
+
+def row_keys(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """Two 64-bit hashes, u1 and u2, that name a row by identifier and text."""
+    text = text_of(text_col)
+    return F.xxhash64(named(id_col), text).alias("u1"), F.xxhash64(text, named(id_col), F.lit(1)).alias("u2")
+
+
+#: Bits of a :func:`sifted` filter: broadcast, 8 MB at any size of the input.
+FILTER_BITS = 1 << 26
+_BUCKET = 32768
+
+
+def sifted(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Drop rows whose 64-bit ``key`` can't be among ``wanted``, by a broadcast bit map of FILTER_BITS.
+
+    The map has one size and the plan one form, however many keys are wanted; with m of them it lets
+    1 - exp(-m / FILTER_BITS) of the others pass.  The join that follows decides.
+    """
+    place = F.pmod(key, F.lit(FILTER_BITS))
+    bits = wanted.select(place.alias("p")).groupBy((F.col("p") / _BUCKET).cast("long").alias("bucket")).agg(F.bitmap_construct_agg(F.col("p") % _BUCKET).alias("bits"))
+    at = (place % _BUCKET).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("bits"), F.lit(1) + (at / 8).cast("int"), F.lit(1))), 16, 10).cast("int")
+    placed = rows.withColumn("bucket", (place / _BUCKET).cast("long"))
+    return placed.join(F.broadcast(bits), "bucket").where(F.getbit(byte, at % 8) == 1).drop("bucket", "bits")

@@ -14,8 +14,10 @@ from itertools import chain
 
 import numpy as np
 
-#: Distinct chunks a process remembers (about 150 bytes each); beyond that it starts anew.
-POOL = 800_000
+#: Bytes of distinct chunks that a process remembers, and that it keeps from one task to the next; beyond that it starts anew.
+POOL_BYTES, KEPT_BYTES = 96 << 20, 48 << 20
+#: What a chunk takes besides its letters and ids: a string, a number, a slot of the index.
+CHUNK_BYTES = 200
 _INNER_SPACE = re.compile(r".\s", re.S).search
 
 
@@ -29,11 +31,12 @@ class ChunkPool:
     """Encodes texts, once a distinct chunk.
 
     ``encode`` takes whole texts and gives a list of ids of each; ``encode_chunks`` takes chunks (a word after a space, a
-    newline or nothing) and gives the ids in a row with the sizes.
+    newline or nothing) and gives the ids in a row with the sizes.  A text that holds one of the strings ``whole`` is not cut.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], encode_chunks: Callable[[list[str]], tuple[np.ndarray, np.ndarray]] | None = None, limit: int = POOL):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], encode_chunks: Callable[[list[str]], tuple[np.ndarray, np.ndarray]] | None = None, limit: int = POOL_BYTES, whole: list[str] | None = None):
         self.encode, self.limit = encode, limit
+        self.whole = re.compile("|".join(map(re.escape, whole))).search if whole else None
         self.encode_chunks = encode_chunks or (lambda chunks: flattened(encode(chunks)))
         self._reset()
 
@@ -45,6 +48,17 @@ class ChunkPool:
         self.starts = np.zeros(1 << 12, np.int64)
         self.flat = np.zeros(1 << 14, np.int32)
         self.used = 0
+        self.letters = 0
+
+    @property
+    def held(self) -> int:
+        """Bytes held, about."""
+        return self.letters + CHUNK_BYTES * (self.count + len(self.dirty)) + 4 * self.used
+
+    def rest(self) -> None:
+        """At the end of a task: let go of a large pool."""
+        if self.held > KEPT_BYTES:
+            self._reset()
 
     def _add(self, keys: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         total, n = len(ids), len(keys)
@@ -58,6 +72,7 @@ class ChunkPool:
         self.index.update(zip(keys, range(self.count, self.count + n), strict=True))
         self.count += n
         self.used += total
+        self.letters += sum(map(len, keys))
 
     @staticmethod
     def _odd(part: str) -> bool:
@@ -66,6 +81,8 @@ class ChunkPool:
 
     def _parts(self, text: str) -> list[str] | None:
         """Keys of the text's chunks, or None if the text must be encoded as a whole.  A key without newline stands for a chunk with one leading space, except at the text's start: there a NUL marks it."""
+        if self.whole and self.whole(text):
+            return None
         if "\n\n\n" in text or "\n\n " in text or text.endswith("\n\n") or "\0" in text:
             return None
         parts = text.replace("\n", " \n").split(" ")
@@ -81,7 +98,7 @@ class ChunkPool:
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of every text."""
-        if self.count > self.limit:
+        if self.held > self.limit:
             self._reset()
         cut = [self._parts(t) for t in texts]
         seen: set[str] = set()
@@ -94,6 +111,7 @@ class ChunkPool:
         for x in fresh:
             if self._odd(x[1:] if x[:1] == "\0" else x):
                 self.dirty.add(x)
+                self.letters += len(x)
             else:
                 good.append(x)
         if good:
@@ -111,8 +129,6 @@ class ChunkPool:
         if whole:
             for k, ids in zip(whole, self.encode([texts[k] for k in whole]), strict=True):
                 out[k] = np.array(ids, np.int32)
-        if len(self.dirty) > self.limit:
-            self.dirty = {""}
         return out
 
     def _gather(self, at: np.ndarray) -> np.ndarray:

@@ -8,20 +8,24 @@ tiers that fit, the last of them cut to fit exactly.  So windows are full, and a
 length is a power of two.  What is left at a task's end, less than one window a
 tier, is cut into windows of powers of two, so nothing is padded.
 
-Finished windows of a tier are dealt to step groups of STEP_TOKENS ids, in a snake by their
-attention cost (the sum of the squared lengths of their pieces), so that the groups
-of a buffer cost about the same.
+Finished windows of all tiers are dealt to step groups of at most STEP_TOKENS ids: the longest
+and dearest window first (its attention cost is the sum of the squared lengths of its pieces), each to the
+group that has the fewest ids and then the least cost.  Windows that fill no group wait for the next
+deal; a task's last groups share what is left evenly.
 
 A task packs the rows it reads; there is no shuffle, and at most BUFFER remainders are held.
 A sequence's number is its task's number and a count, as in monotonically_increasing_id.
 
 Edge cases.  A null text counts as empty (its only id is 0).  Null identifiers and
 repeated rows are packed like any row; an empty table gives no piece; further columns
-are not read.
+are not read.  A very long text is cut into full windows as soon as it is encoded.
+A special token's string in a text gives that token's id, as the library does by default;
+``special=False`` takes it as ordinary text.
 """
 
 from __future__ import annotations
 
+import heapq
 import os
 import zlib
 from bisect import bisect_right, insort
@@ -42,19 +46,20 @@ STEP_TOKENS = 64 * 1024
 #: Chunks that are encoded as one text.
 LINES = 2_048
 
-_ready: dict[str, ChunkPool] = {}
+_ready: dict[tuple[str, bool], ChunkPool] = {}
 
 
-def token_pool(path: str) -> ChunkPool:
-    """The tokenizer file's encoder, once a worker process; strings of special tokens in a text are ordinary text."""
-    if path not in _ready:
+def token_pool(path: str, special: bool = True) -> ChunkPool:
+    """The tokenizer file's encoder, once a worker process.  ``special``: special tokens' strings in a text give their ids."""
+    if (path, special) not in _ready:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        _ready[path] = ChunkPool(lambda texts: [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)], _joined_encoder(t))
-    return _ready[path]
+        t.encode_special_tokens = not special
+        whole = [x.content for x in t.get_added_tokens_decoder().values()]
+        _ready[path, special] = ChunkPool(lambda texts: [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)], _joined_encoder(t), whole=whole)
+    return _ready[path, special]
 
 
 def _joined_encoder(t) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
@@ -90,8 +95,8 @@ class Packer:
     def __init__(self, emit: Callable[[int, int, list], None], tiers: tuple[int, ...] = TIERS, buffer: int = BUFFER):
         self.emit, self.tiers, self.buffer = emit, tiers, buffer
         self.held: dict[int, list] = {t: [] for t in tiers}  # (size, order, document, start, ids), sorted
-        self.count = self.order = self.steps = 0
-        self.done: dict[int, list[list]] = {}
+        self.count = self.order = self.steps = self.tokens = 0
+        self.done: list[tuple[int, list]] = []
 
     def add(self, doc, ids: np.ndarray) -> None:
         top, at = self.tiers[0], 0
@@ -147,20 +152,29 @@ class Packer:
         self._deal()
 
     def _finish(self, tier: int, window: list) -> None:
-        self.done.setdefault(tier, []).append(window)
-        if len(self.done[tier]) >= 4 * self.buffer:
+        self.done.append((tier, window))
+        self.tokens += tier
+        if len(self.done) >= 4 * self.buffer:
             self._deal()
 
-    def _deal(self) -> None:
-        """Deal finished windows to step groups, in a snake by attention cost."""
-        for tier, ready in self.done.items():
-            groups = -(-len(ready) * tier // STEP_TOKENS)
-            ready.sort(key=lambda w: -sum(len(p[2]) ** 2 for p in w))
-            for k, window in enumerate(ready):
-                lap, at = divmod(k, groups)
-                self.emit(tier, self.steps + (at if lap % 2 == 0 else groups - 1 - at), window)
-            self.steps += groups
-        self.done = {}
+    def _deal(self, last: bool = False) -> None:
+        """Deal finished windows to step groups; what fills no group stays, but for the ``last`` time."""
+        groups = -(-self.tokens // STEP_TOKENS) if last else self.tokens // STEP_TOKENS
+        if not groups:
+            return
+        # as lengths are powers of two, longest first, a group that has room takes a window without passing STEP_TOKENS
+        ready = sorted(self.done, key=lambda w: (-w[0], -sum(len(p[2]) ** 2 for p in w[1])))
+        least = [(0, 0, k) for k in range(groups)]
+        self.done = []
+        for tier, window in ready:
+            tokens, cost, k = least[0]
+            if tokens + tier > STEP_TOKENS:
+                self.done.append((tier, window))
+                continue
+            heapq.heapreplace(least, (tokens + tier, cost + sum(len(p[2]) ** 2 for p in window), k))
+            self.emit(tier, self.steps + k, window)
+            self.tokens -= tier
+        self.steps += groups
 
     def close(self) -> None:
         """Pack the rest; the last ids go to windows of powers of two."""
@@ -179,19 +193,20 @@ class Packer:
                     k, cut = k + 1, 0
             total -= size
             self._finish(size, window)
-        self._deal()
+        while self.done:
+            self._deal(last=True)
         self.held = {t: [] for t in self.tiers}
         self.count = 0
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, special: bool = True) -> DataFrame:
     """Per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_length, step_group and, if asked for, ids."""
     common.need(docs, [id_col, text_col])
     id_type = dict(docs.dtypes)[id_col]
     schema = f"id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long, step_group long" + (", ids array<int>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pool = token_pool(tokenizer_path)
+        pool = token_pool(tokenizer_path, special)
         base = TaskContext.get().partitionId() << 33
         out: list[list] = []
         made = 0
@@ -226,8 +241,9 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                 if len(out) > 5_000:
                     yield table()
         packer.close()
+        pool.rest()
         if out:
             yield table()
 
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    narrow = docs.select(common.named(id_col).alias("id"), common.named(text_col).alias("text"))
     return narrow.mapInArrow(run, schema).withColumnRenamed("id", id_col)

@@ -213,15 +213,15 @@ def pooled(path: str, pattern: str) -> tuple[SegmentBPE, ChunkPool]:
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Encode and decode every whole text: id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids.
 
-    Null counts as empty (no token); repeated rows and null identifiers stay as they are; an empty table gives an empty result; further columns are not read.
+    Null counts as empty (no token); repeated rows and null identifiers stay as they are; an empty table gives an empty result; further columns are not read. Very long texts are encoded as a whole.
     """
     common.need(docs, [id_col, text_col])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, pool = pooled(path, pattern)
         for b in batches:
-            for k in range(0, b.num_rows, 1000):
-                part = b.slice(k, 1000)
+            for k in range(0, b.num_rows, 500):
+                part = b.slice(k, 500)
                 all_ids = pool.encode_batch([t or "" for t in part.column(1).to_pylist()])
                 lists = [x.tolist() for x in all_ids]
                 arrays = [
@@ -235,6 +235,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
                     arrays.append(pa.array(lists, pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
+        pool.rest()
 
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"id {dict(docs.dtypes)[id_col]}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")

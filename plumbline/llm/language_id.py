@@ -7,18 +7,20 @@ every pair of adjacent classes is tabulated once, and a width of 3 or 4 is the s
 of two table rows: inference is a few gathers a byte.  Every window of every whole
 text is classified; a text's score is the mean over its windows.
 
-The network learns from a bounded sample: at most PER_LANGUAGE documents of each of
-at most MAX_LANGUAGES languages (the most frequent), chosen by a hash of the text,
+The network learns every label from a bounded sample of labelled rows: at most SAMPLE_ROWS in all, shared
+evenly by the languages and at most PER_LANGUAGE of each, chosen by a hash of identifier and text,
 and WINDOWS_EACH windows of each.
 
 Edge cases.  A null text, or one without a letter, gives ``und`` with score 0; so does
-everything if there is nothing to learn from.  Null labels are not learnt.  Repeated
-rows and null identifiers are treated as any row; further columns are not read.
+everything if there is nothing to learn from.  Null labels, and texts without a letter, are not learnt.  Repeated
+rows and null identifiers are treated as any row; further columns are not read.  Very long texts are
+classified in all their windows, GRID of them at once.  Carried columns named lang_pred or score are replaced.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,12 +34,14 @@ from plumbline.llm import common
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8
-PER_LANGUAGE, MAX_LANGUAGES, WINDOWS_EACH = 1_500, 64, 2
+SAMPLE_ROWS, PER_LANGUAGE, WINDOWS_EACH = 96_000, 1_500, 2
 EPOCHS, BATCH, RATE = 8, 128, 0.015
 #: Texts taken at once in a task.
 TASK_BATCH = 500
-#: For the gate: held-out documents a language that are looked at; how many it needs and what share must be right; a sure score; the highest floor.
-HELD_EACH, HELD_LEAST, HELD_RIGHT, SURE, HIGHEST_FLOOR = 300, 10, 0.9, 0.9, 0.5
+#: Windows that pass through the network at once.
+GRID = 256
+#: For the gate: held-out documents that are looked at, in all and a language; how many it needs and what share must be right; a sure score; the highest floor.
+HELD_ROWS, HELD_EACH, HELD_LEAST, HELD_RIGHT, SURE, HIGHEST_FLOOR = 19_200, 300, 10, 0.9, 0.9, 0.5
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -102,9 +106,10 @@ def train(texts: list[bytes], labels: list[str], seed: int = 7) -> ByteCNN | Non
     languages = sorted(set(labels))
     if not languages:
         return None
+    number = {v: k for k, v in enumerate(languages)}
     rng = np.random.default_rng(seed)
     x = np.concatenate([windows(t[:WINDOW]) for t in texts])
-    y = np.array([languages.index(v) for v in labels])
+    y = np.array([number[v] for v in labels])
     n_f = FILTERS * len(WIDTHS)
     net = ByteCNN(languages, {w: rng.normal(0, 0.3, (w, 64, FILTERS)) for w in WIDTHS}, np.zeros(n_f), rng.normal(0, 0.2, (n_f, len(languages))), np.zeros(len(languages)))
     params = [*(net.filters[w] for w in WIDTHS), net.bias, net.dense, net.dense_bias]
@@ -142,26 +147,35 @@ def train(texts: list[bytes], labels: list[str], seed: int = 7) -> ByteCNN | Non
 
 def fold(id_col: str) -> Column:
     """crc32 of the identifier as text, modulo 4."""
-    return F.crc32(F.col(id_col).cast("string")) % 4
+    return F.crc32(common.named(id_col).cast("string")) % 4
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
     """(text, label): the bounded training sample.  A hash of the row thins each language before anything is ordered."""
-    docs = docs.select(id_col, text_col, label_col)
-    labelled = docs.where((fold(id_col) != 2) & F.col(label_col).isNotNull() & (F.octet_length(F.col(text_col)) >= 16))
-    sizes = labelled.groupBy(label_col).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), label_col).limit(MAX_LANGUAGES)
-    spread = F.abs(F.xxhash64(F.col(id_col), F.lit("sample")) % 1_000_000) / 1_000_000
-    thin = labelled.withColumn("_u", spread).join(F.broadcast(sizes), label_col).where(F.col("_u") * F.col("_n") <= 1.2 * PER_LANGUAGE)
-    size = F.char_length(text_col)
+    learnt = (fold(id_col) != 2) & common.named(label_col).isNotNull() & common.named(text_col).rlike(r"\p{L}")
+    labelled = docs.where(learnt).select(common.named(id_col).alias("id"), common.named(text_col).alias("text"), common.named(label_col).alias("label"))
+    thin = _thinned(labelled, "sample", SAMPLE_ROWS, PER_LANGUAGE)
+    size = F.char_length("text")
     begins = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS_EACH - 1)), lambda k: F.floor((size - 1) * k / WINDOWS_EACH).cast("int"))
-    pieces = F.array_distinct(F.transform(begins, lambda b: F.substring(F.col(text_col), b + 1, F.lit(WINDOW))))
-    first = thin.select(F.col(label_col).alias("label"), "_u", F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_t"), pieces.alias("pieces"))
-    kept = first.withColumn("_k", F.row_number().over(Window.partitionBy("label").orderBy("_u", "_id", "_t"))).where(F.col("_k") <= PER_LANGUAGE)
-    return kept.select("label", "_k", F.explode("pieces").alias("text"))
+    pieces = F.array_distinct(F.transform(begins, lambda b: F.substring(F.col("text"), b + 1, F.lit(WINDOW))))
+    first = thin.select("label", "u", "id", F.xxhash64("text").alias("t"), "most", pieces.alias("pieces"))
+    kept = first.withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("u", "id", "t"))).where("k <= most")
+    return kept.select("label", "k", F.explode("pieces").alias("text"))
+
+
+def _thinned(rows: DataFrame, salt: str, total: int, each: int) -> DataFrame:
+    """``rows`` (id, text, label) with u, a hash in 0 to 1, and ``most``, how many rows of a label may be taken, so that no more than ``total`` are in all; rows whose u is far too high are left out."""
+    sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    kinds = max(1, sizes.count())
+    most = max(1, min(each, total // kinds))
+    if kinds > total:  # more labels than sample rows: the most frequent
+        sizes = sizes.orderBy(F.desc("n"), "label").limit(total)
+    u = F.abs(F.xxhash64("id", "text", F.lit(salt)) % 1_000_000) / 1_000_000
+    return rows.withColumns({"u": u, "most": F.lit(most)}).join(F.broadcast(sizes), "label").where(F.col("u") * F.col("n") <= 1.2 * most + 20)
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> ByteCNN | None:
-    rows = sorted((r["label"], r["_k"], r["text"]) for r in sample(docs, id_col, text_col, label_col).collect())  # bounded: see the module
+    rows = sorted((r["label"], r["k"], r["text"]) for r in sample(docs, id_col, text_col, label_col).collect())  # bounded: see the module
     return train([r[2].encode("utf-8", "replace") for r in rows], [r[0] for r in rows])
 
 
@@ -169,15 +183,17 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """Per row: id, held_out, lang_pred, score."""
     common.need(docs, [id_col, text_col, label_col])
     model = model or fit(docs, id_col, text_col, label_col)
-    held = docs.select(F.col(id_col).alias("id"), F.coalesce(fold(id_col) == 2, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
+    held = docs.select(common.named(id_col).alias("id"), F.coalesce(fold(id_col) == 2, F.lit(False)).alias("held_out"), common.named(text_col).alias("text"))
     return predict(held, ["id", "held_out"], model).withColumnRenamed("id", id_col)
 
 
 def predict(rows: DataFrame, carried: list[str], model: ByteCNN | None, text_col: str = "text") -> DataFrame:
     """``carried`` columns, lang_pred and score of every row."""
 
+    carried = [c for c in carried if c not in ("lang_pred", "score")]
     columns = list(dict.fromkeys([*carried, text_col]))  # a carried text travels once
     at = columns.index(text_col)
+    own = [f"c{k}" for k in range(len(columns))][: len(carried)]  # names that Arrow and Spark agree on
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = model.tables() if model else {}
@@ -188,18 +204,19 @@ def predict(rows: DataFrame, carried: list[str], model: ByteCNN | None, text_col
                 pred, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
                 known = [k for k, t in enumerate(texts) if model and t and _LETTER.search(t)]
                 blocks = [windows(texts[k].encode("utf-8", "replace")) for k in known]
-                for start, stop in _slices([len(x) for x in blocks], 256):
+                for start, stop in _slices([len(x) for x in blocks], GRID):
                     grid = np.concatenate(blocks[start:stop])
-                    p = np.concatenate([model.probabilities(grid[i : i + 256], tables) for i in range(0, len(grid), 256)])
+                    p = np.concatenate([model.probabilities(grid[i : i + GRID], tables) for i in range(0, len(grid), GRID)])
                     sizes = np.array([len(x) for x in blocks[start:stop]])
                     mean = np.add.reduceat(p, np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
                     for k, row in zip(known[start:stop], mean, strict=True):
                         pred[k], score[k] = model.languages[int(row.argmax())], float(row.max())
-                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(carried))), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*carried, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(carried))), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*own, "lang_pred", "score"])
 
     types = dict(rows.dtypes)
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in carried), "lang_pred string", "score double"])
-    return rows.select(*columns).mapInArrow(run, schema)
+    schema = ", ".join([*(f"{o} {types[c]}" for o, c in zip(own, carried, strict=True)), "lang_pred string", "score double"])
+    narrow = rows.select(*[common.named(c).alias(f"c{k}") for k, c in enumerate(columns)])
+    return narrow.mapInArrow(run, schema).toDF(*carried, "lang_pred", "score")
 
 
 @dataclass
@@ -211,7 +228,7 @@ class Gate:
 
     def keeps(self, label_col: str) -> Column:
         """Over rows with lang_pred and score: False for no language, a sure contradiction of a trusted label, and a score below the floor where the label is trusted or missing."""
-        label = F.col(label_col)
+        label = common.named(label_col)
         trusted = F.coalesce(label.isin(self.trusted), F.lit(False))
         contradicted = trusted & (F.col("lang_pred") != label) & (F.col("score") >= SURE)
         low = (trusted | label.isNull()) & (F.col("score") < self.floor)
@@ -219,17 +236,16 @@ class Gate:
 
 
 def gate(docs: DataFrame, model: ByteCNN, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Gate:
-    """The gate from at most HELD_EACH held-out documents of each language of ``model``, chosen by a hash of the identifier."""
-    held = docs.where((fold(id_col) == 2) & F.col(label_col).isin(model.languages)).select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.col(label_col).alias("label"))
-    sizes = held.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
-    spread = F.abs(F.xxhash64(F.col("_id"), F.lit("held")) % 1_000_000) / 1_000_000
-    thin = held.withColumn("_u", spread).join(F.broadcast(sizes), "label").where(F.col("_u") * F.col("_n") <= 1.2 * HELD_EACH)
-    order = Window.partitionBy("label").orderBy("_u", "_id", F.xxhash64("text"))
-    some = thin.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= HELD_EACH)
-    seen = predict(some, ["label"], model).where(F.col("lang_pred") != UNKNOWN).collect()  # bounded: HELD_EACH * MAX_LANGUAGES
-    trusted = []
-    for label in model.languages:
-        right = [r["lang_pred"] == label for r in seen if r["label"] == label]
+    """The gate from at most HELD_ROWS held-out documents, HELD_EACH of each language of ``model``, chosen by a hash of identifier and text."""
+    held = docs.where((fold(id_col) == 2) & common.named(label_col).isin(model.languages)).select(common.named(id_col).alias("id"), common.named(text_col).alias("text"), common.named(label_col).alias("label"))
+    thin = _thinned(held, "held", HELD_ROWS, HELD_EACH)
+    order = Window.partitionBy("label").orderBy("u", "id", F.xxhash64("text"))
+    some = thin.withColumn("k", F.row_number().over(order)).where("k <= most")
+    seen = predict(some, ["label"], model).where(F.col("lang_pred") != UNKNOWN).collect()  # bounded: HELD_ROWS
+    trusted, told = [], defaultdict(list)
+    for r in seen:
+        told[r["label"]].append(r["lang_pred"] == r["label"])
+    for label, right in sorted(told.items()):
         if len(right) >= HELD_LEAST and sum(right) >= HELD_RIGHT * len(right):
             trusted.append(label)
     scores = [r["score"] for r in seen if r["label"] in trusted]

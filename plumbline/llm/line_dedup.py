@@ -3,7 +3,7 @@
 Lines (parts of a text between newlines) are compared with all lines of all
 documents, in the order of document identifier and line number.  A line goes if
 an equal line is earlier, or if its characters number MIN_CHARS or more and an
-earlier line differs from it by one edit (one character inserted, deleted or
+earlier line, of any length, differs from it by one edit (one character inserted, deleted or
 replaced).  Lines are judged on the input, not on what is left.  Blank lines stay.
 
 How near lines are found, without pairs:
@@ -18,11 +18,15 @@ How near lines are found, without pairs:
    a short one.  Lines with one variant at one ``j`` are replacements of each other:
    of such a group only the earliest matters.  A line equal to another's variant is an
    insertion or deletion away from it: such lines meet the shorter one's own hash.
-4. The earliest candidate of each line is verified by its edit distance.
+4. The earliest line of each meeting is a rival of the others; every pair of a line and a rival is verified by its edit distance.
+
+Lines shared by very many documents fall together in each task before they move; halves shared by
+very many lines meet by broadcast (see ``common.lookup``).
 
 Edge cases.  A null text counts as empty.  Null identifiers come last; rows of equal
 identifier are ordered by a hash of their texts; wholly equal rows count as one document
-and all get its result.  An empty table gives an empty result.  Other columns are untouched.
+and all get its result.  An empty table gives an empty result.  Very long texts and lines are split and hashed like any other.
+Other columns are untouched, whatever their names; own columns n_lines and n_dropped are replaced.
 """
 
 from __future__ import annotations
@@ -34,9 +38,6 @@ from plumbline.llm import common
 
 MIN_CHARS = 16
 BLOCK = 64
-#: Bits of the filter of line hashes: broadcast, 8 MB at most; with more lines than FILTER_LINES it is left out.
-FILTER_BITS, FILTER_LINES = 1 << 26, 1 << 23
-_BUCKET = 32768
 #: Lines whose neighbourhoods one task emits.
 TASK_LINES = 4_000
 _PLACE = ["none", "id", "doc", "pos"]
@@ -44,13 +45,7 @@ _PLACE = ["none", "id", "doc", "pos"]
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, u1, u2, text): u1, u2 name a row by identifier and text."""
-    text = common.text_of(text_col)
-    return docs.select(
-        F.col(id_col).alias("id"),
-        F.xxhash64(F.col(id_col), text).alias("u1"),
-        F.xxhash64(text, F.col(id_col), F.lit(1)).alias("u2"),
-        text.alias("text"),
-    )
+    return docs.select(common.named(id_col).alias("id"), *common.row_keys(id_col, text_col), common.text_of(text_col).alias("text"))
 
 
 def _lines(rows: DataFrame) -> DataFrame:
@@ -73,18 +68,6 @@ def _place() -> Column:
     return F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("u1").alias("doc"), F.col("pos"))
 
 
-def _sifted(lines: DataFrame, wanted: DataFrame, count: int) -> DataFrame:
-    """Lines whose h1 may be among ``wanted``, by a broadcast bit map; the join that follows decides."""
-    if count > FILTER_LINES:
-        return lines
-    place = F.pmod("h1", F.lit(FILTER_BITS))
-    bits = wanted.select(place.alias("p")).groupBy((F.col("p") / _BUCKET).cast("long").alias("bucket")).agg(F.bitmap_construct_agg(F.col("p") % _BUCKET).alias("bits"))
-    at = (place % _BUCKET).cast("int")
-    byte = F.conv(F.hex(F.substring(F.col("bits"), F.lit(1) + (at / 8).cast("int"), F.lit(1))), 16, 10).cast("int")
-    placed = lines.withColumn("bucket", (place / _BUCKET).cast("long"))
-    return placed.join(F.broadcast(bits), "bucket").where(F.getbit(byte, at % 8) == 1).drop("bucket", "bits")
-
-
 def _variants(near: DataFrame, carried: list[str]) -> DataFrame:
     """(carried, key, spot, kind): keys of the deletion neighbourhoods of ``near`` lines.
 
@@ -111,41 +94,47 @@ def _variants(near: DataFrame, carried: list[str]) -> DataFrame:
     return cut.unionByName(own.select(*carried, whole.alias("key"), F.lit(-1).alias("spot"), F.lit(2).alias("kind")))
 
 
+def _ends(*columns: str) -> list[Column]:
+    """Least and greatest of each column: UNLIKE if two rows differ in one of them."""
+    return [f(c).alias(f"{at}_{c}") for c in columns for f, at in ((F.min, "min"), (F.max, "max"))]
+
+
+UNLIKE = "min_h1 <> max_h1 OR min_h2 <> max_h2"
+
+
 def _gone(lines: DataFrame, known: DataFrame) -> DataFrame:
     """(h1, h2) of the distinct lines that have an earlier line one edit away."""
-    long_ = known.where(F.col("n") >= MIN_CHARS)
+    long_ = known.where(F.col("n") >= MIN_CHARS - 1)  # the earlier line of a pair may be the shorter one
     halves = long_.select("h1", "h2", F.explode(F.array(*[F.struct(F.col(f"k{i}").alias("k"), F.lit(i % 2).alias("side")) for i in range(4)])).alias("half")).select("h1", "h2", "half.k", "half.side")
-    shared = halves.groupBy("k").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("k")
-    met = halves.join(shared, "k").groupBy("h1", "h2").agg(F.max(F.col("side") == 1).alias("front"), F.max(F.col("side") == 0).alias("back"))
+    shared = halves.groupBy("k").agg(*_ends("h1", "h2"), F.count(F.lit(1)).alias("lines")).where(UNLIKE).select("k", "lines")
+    shared = common.written(shared, "lines-shared")
+    hot = common.hot_keys(shared, "lines", common.total_rows(shared, "lines"))
+    met = common.lookup(halves, shared, ["k"], hot).groupBy("h1", "h2").agg(F.max(F.col("side") == 1).alias("front"), F.max(F.col("side") == 0).alias("back"))
     found = common.written(met, "lines-met")
+    common.dropped(shared)
     count = common.total_rows(found)
-    texts = _sifted(lines.select("h1", "h2", "line"), found, count).join(found, ["h1", "h2"])
-    # copies of a line fall together in each task before anything is compared
-    near = (
-        texts.groupBy("h1", "h2").agg(F.first("line").alias("line"), F.first("front").alias("front"), F.first("back").alias("back"))
-        .join(known.select("h1", "h2", "first"), ["h1", "h2"])
-    )
+    # copies of a line fall together in each task before anything moves
+    texts = common.sifted(lines.select("h1", "h2", "line"), found, "h1").groupBy("h1", "h2").agg(F.first("line").alias("line"))
+    near = texts.join(found, ["h1", "h2"]).join(known.select("h1", "h2", "first"), ["h1", "h2"])
     near = common.written(near.repartition(count // TASK_LINES + 1, "h1"), "lines-near")
     # replacements meet at one spot; deletions (kind 1) meet the shorter line's own keys (kind 2)
-    clash = _variants(near, ["h1"]).groupBy("key", "spot").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.min("kind").alias("lo"), F.max("kind").alias("hi"))
-    clash = common.written(clash.where("a <> b AND (spot >= 0 OR (lo = 1 AND hi = 2))").select("key", "spot"), "lines-clash")
+    clash = _variants(near, ["h1", "h2"]).groupBy("key", "spot").agg(*_ends("h1", "h2"), F.min("kind").alias("lo"), F.max("kind").alias("hi"))
+    clash = common.written(clash.where(f"({UNLIKE}) AND (spot >= 0 OR (lo = 1 AND hi = 2))").select("key", "spot"), "lines-clash")
     members = _variants(near, ["h1", "h2", "first"]).join(clash, ["key", "spot"])
     members = common.written(members.withColumn("self", F.struct("first", "h1", "h2")), "lines-members")
     first = members.groupBy("key", "spot").agg(
         F.min("self").alias("any"), F.min(F.when(F.col("kind") == 1, F.col("self"))).alias("cut"), F.min(F.when(F.col("kind") == 2, F.col("self"))).alias("own")
     )
     rival = F.when(F.col("kind") == 0, F.col("any")).when(F.col("kind") == 1, F.col("own")).otherwise(F.col("cut"))
-    best = members.join(first, ["key", "spot"]).groupBy("h1", "h2").agg(F.min("first").alias("first"), F.min(rival).alias("rival")).where("rival.first < first")
+    pairs = members.join(first, ["key", "spot"]).select("h1", "h2", "first", rival.alias("rival")).where("rival.first < first")
+    pairs = pairs.select("h1", "h2", F.col("rival.h1").alias("r1"), F.col("rival.h2").alias("r2")).distinct()
+    going = near.select("h1", "h2", "line").where(F.char_length("line") >= MIN_CHARS)
     other = near.select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), F.col("line").alias("earlier"))
-    checked = (
-        best.select("h1", "h2", F.col("rival.h1").alias("r1"), F.col("rival.h2").alias("r2"))
-        .join(near.select("h1", "h2", "line"), ["h1", "h2"]).join(other, ["r1", "r2"]).where(F.levenshtein("line", "earlier", 1) >= 0)
-    )
-    return checked.select("h1", "h2")
+    return pairs.join(going, ["h1", "h2"]).join(other, ["r1", "r2"]).where(F.levenshtein("line", "earlier", 1) >= 0).select("h1", "h2").distinct()
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``text_col`` less the lines that go, and n_lines, n_dropped."""
+    """``docs`` with ``text_col`` less the lines that go, and n_lines, n_dropped (in place of own columns of these names)."""
     common.need(docs, [id_col, text_col])
     rows = _rows(docs, id_col, text_col)
     lines = _lines(rows)
@@ -162,14 +151,17 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     places = common.lookup(lines.select("u1", "u2", "h1", "h2", _place().alias("place")), judged, ["h1", "h2"], hot)
     drop = places.where(F.col("gone") | (F.col("place") != F.col("first"))).groupBy("u1", "u2").agg(F.array_sort(F.collect_set("place.pos")).alias("drop"))
     drop = common.written(drop, "lines-drop")
-    named = docs.withColumns({"_text": common.text_of(text_col)}).withColumns(
-        {"_u1": F.xxhash64(F.col(id_col), F.col("_text")), "_u2": F.xxhash64(F.col("_text"), F.col(id_col), F.lit(1))}
-    )
-    parts = F.split("_text", "\n")
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("_drop"), i)), "\n")
-    joined = named.join(drop.select(F.col("u1").alias("_u1"), F.col("u2").alias("_u2"), F.col("drop").alias("_drop")), ["_u1", "_u2"], "left")
-    return joined.withColumns({
-        text_col: F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(kept),
-        "n_lines": F.size(parts).cast("long"),
-        "n_dropped": F.when(F.col("_drop").isNull(), 0).otherwise(F.size("_drop")).cast("long"),
-    }).drop("_text", "_u1", "_u2", "_drop")
+    parts = F.split(common.text_of(text_col), "\n")
+    keyed = docs.select(*common.row_keys(id_col, text_col), F.size(parts).cast("long").alias("n_lines"), common.whole_row(docs))
+    joined = keyed.join(drop, ["u1", "u2"], "left")
+    # an array of one element binds the lines, so that a text is split once
+    left = lambda b: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(b["parts"]) - 1), b["drop"]), lambda i: F.get(b["parts"], i)), "\n")
+    text = F.col("row").getField(text_col)
+    bound = F.array(F.struct(F.split(text.cast("string"), "\n").alias("parts"), F.col("drop")))
+    own = {
+        text_col: F.when(F.col("drop").isNull(), text).otherwise(F.get(F.transform(bound, left), 0)),
+        "n_lines": F.col("n_lines"),
+        "n_dropped": F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop")).cast("long"),
+    }
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return joined.select(*[own.get(c, F.col("row").getField(c)).alias(c) for c in [*kept, "n_lines", "n_dropped"]])

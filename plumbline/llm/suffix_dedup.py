@@ -17,9 +17,12 @@ Pairs that repeat inside a task are settled there and one of them goes on, so th
 passage which very many texts share doesn't meet in one place.  Equal texts are
 reduced to one with a count at the start: of T bytes or more, they go as a whole.
 
+Names are 64-bit hashes, not verified on the bytes.  Spans are known by two of them.  Rank pairs are compared within one
+group of about GROUP_ROWS positions only, so a false match of two pairs has a chance of 3 in 10^8 a group.
+
 Edge cases.  A null text counts as empty.  Texts under T bytes match nothing.
 Repeated rows are equal texts.  Null identifiers stay as they are; an empty table gives an
-empty result; further columns are not touched.
+empty result; further columns are not touched, whatever their names.  A very long text is unfolded CHUNK positions at a time.
 """
 
 from __future__ import annotations
@@ -212,7 +215,9 @@ def removed_spans(docs: DataFrame, text_col: str, with_text: bool = False) -> tu
         F.count(F.lit(1)).alias("n"), F.first("mixed").alias("mixed"), *[F.first(c).alias(c) for c in ("t1", "t2", "lo", "hi")]
     )
     kinds = common.written(kinds.where("n > 1 OR mixed").withColumn("rep", F.monotonically_increasing_id()), "suffix-kinds")
-    settled = left.join(kinds.where("n > 1").select("seed", "span"), ["seed", "span"], "left_semi").select("t1", "t2", "lo", "hi")
+    # a passage that very many texts share has one span: its rows stay where they are
+    often = kinds.where("n > 1").select("seed", "span", "n")
+    settled = common.lookup(left.select("seed", "span", "t1", "t2", "lo", "hi"), often, ["seed", "span"], common.hot_keys(often, "n", common.total_rows(left))).select("t1", "t2", "lo", "hi")
     unfold = kinds.where("mixed")
     # ranks of so many positions that they would fill a group for themselves
     crowd = unfold.groupBy("seed").agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("p")).where(F.col("p") > GROUP_ROWS)
@@ -245,11 +250,12 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     out = out.join(counts, ["t1", "t2"])
     hot = common.hot_keys(out, "copies", common.total_rows(counts, "copies"))
     if rewrite:
-        columns = docs.columns
-        named = docs.withColumns(dict(zip(("t1", "t2"), (F.xxhash64(common.text_of(text_col)), F.xxhash64(common.text_of(text_col), F.lit(1))), strict=True)))
+        keyed = docs.select(*_keys(common.text_of(text_col)), common.whole_row(docs))
         right = out.where("n_removed > 0").select("t1", "t2", "kept", "copies")
         hot = common.hot_keys(right, "copies", common.total_rows(counts, "copies"))
-        return common.lookup(named, right, ["t1", "t2"], hot, "left").withColumn(text_col, F.coalesce("kept", text_col)).select(*columns)
-    rows = docs.select(F.col(id_col).alias("id"), *_keys(common.text_of(text_col)))
+        found = common.lookup(keyed, right, ["t1", "t2"], hot, "left")
+        column = F.col("row").getField
+        return found.select(*[(F.coalesce("kept", column(c)) if c == text_col else column(c)).alias(c) for c in docs.columns])
+    rows = docs.select(common.named(id_col).alias("id"), *_keys(common.text_of(text_col)))
     right = out.select("t1", "t2", "n_bytes", "n_removed", "n_spans", "kept_sha256", "copies")
     return common.lookup(rows, right, ["t1", "t2"], hot.select(*right.columns)).select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -21,7 +21,8 @@ component, with as many links as members and never all pairs.
 
 Edge cases.  Null texts count as empty; no words give fingerprint zero, linked
 like any other.  Null identifiers have component null unless another member has
-an identifier.  Repeated rows stay.  An empty table gives an empty result.
+an identifier.  Repeated rows stay.  An empty table gives an empty result.  A very long
+text is summed in blocks of hashes.  Further columns are not read; :func:`drop_near_copies` returns them as they are.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import common
 from plumbline.llm.components import connected_components
-from plumbline.llm.near_copies import near_copies, row_keys
+from plumbline.llm.near_copies import near_copies
 
 WORDS, RADIUS, SEED = 3, 3, 42
 #: Variants that one group of the meeting may hold on average: 10 bytes each.
@@ -85,7 +86,7 @@ def with_fingerprint(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             fps = [_signed(fingerprint(t)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["id", "fp"])
 
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    narrow = docs.select(common.named(id_col).alias("id"), common.named(text_col).alias("text"))
     return narrow.mapInArrow(compute, f"id {dict(docs.dtypes)[id_col]}, fp long")
 
 
@@ -175,9 +176,10 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of the rows of each component of :func:`near_copies`, the one with the smallest identifier stays, and of those without identifier, which copy each other only, one too.
 
-    Rows are told apart by identifier and text; of wholly equal ones one stays."""
+    Rows are told apart by identifier and text; of rows equal in both, the one stays whose columns have the least hash."""
     rows = common.written(near_copies(docs, id_col, text_col), "near-components")
     none = F.col("id").isNull()
-    stay = rows.groupBy("component", none.alias("none")).agg(F.min(F.struct("id", "u1", "u2")).alias("row")).select(F.col("row.u1").alias("_u1"), F.col("row.u2").alias("_u2"))
-    left = row_keys(docs, id_col, text_col).join(stay, ["_u1", "_u2"], "left_semi").dropDuplicates(["_u1", "_u2"])
-    return left.select(*docs.columns)
+    stay = rows.groupBy("component", none.alias("none")).agg(F.min(F.struct("id", "u1", "u2")).alias("least")).select("least.u1", "least.u2")
+    keyed = docs.select(*common.row_keys(id_col, text_col), F.xxhash64(*map(common.named, docs.columns)).alias("u3"), common.whole_row(docs))
+    left = keyed.join(stay, ["u1", "u2"], "left_semi").groupBy("u1", "u2").agg(F.min_by("row", "u3").alias("row"))
+    return left.select("row.*")

@@ -20,6 +20,20 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "the of and to in that is was he for it with as his on be at by had not are but from or have an they which one you were all her she there would their we him been has when who".split()
 
 
+CLASHES = "digest h1 fp t1 t2 id part keep b run kept copies _text _u1 _u2 _drop _keep u1 u2 row drop n_lines n_dropped lang_pred score node component stay label k a.b".split()
+
+
+def clashing(spark, rows):
+    """Rows of (doc_id, text) with columns of many clashing names, each row's own value in them."""
+    out = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], SCHEMA)
+    return out.select("*", *[F.concat(F.lit(c), F.coalesce("doc_id", F.lit(-9))).alias(c) for c in CLASHES])
+
+
+def assert_untouched(spark, out, but=()):
+    for r in out.collect():
+        assert all(r[c] == f"{c}{-9 if r['doc_id'] is None else r['doc_id']}" for c in CLASHES if c not in but)
+
+
 def docs(spark, rows):
     """Rows of (doc_id, text), with further columns whose names clash with internal ones."""
     full = [(i, t, "en", "s", None if t is None else len(t)) for i, t in rows]
@@ -135,6 +149,39 @@ def test_suffix_rewrite_keeps_columns(spark, rows):
     assert kept[0] == "" and kept[12] is None and kept[23] == "word"
 
 
+def test_clashing_names_keep_their_values(spark, rows):
+    rows = rows[:4] + rows[6:14] + rows[16:20]
+    d = clashing(spark, rows)
+    out = suffix_dedup.suffix_dedup(d, rewrite=True)
+    assert out.columns == d.columns and out.count() == len(rows)
+    assert_untouched(spark, out)
+    out = line_dedup.line_dedup(d)
+    assert set(out.columns) == set(d.columns) and out.count() == len(rows)
+    assert_untouched(spark, out, ("n_lines", "n_dropped"))
+    out = simhash.drop_near_copies(d)
+    assert out.columns == d.columns
+    assert_untouched(spark, out)
+    out = language_id.predict(d, d.columns, language_id.fit(d))
+    assert sorted(out.columns) == sorted(d.columns) and out.count() == len(rows)
+    assert_untouched(spark, out, ("lang_pred", "score"))
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(31)
+    long_ = prose(rng, 80_000)
+    made = [(1, long_), (2, long_[: len(long_) // 2] + "\n" * 5000 + "y" * 300_000), (3, "x" * 1_200_000), (4, None), (5, "short one")]
+    d = docs(spark, made)
+    cut = {r["doc_id"]: r for r in suffix_dedup.suffix_dedup(d).collect()}
+    assert cut[3]["n_removed"] == 1_200_000 and cut[2]["n_removed"] >= len(long_) // 2 + 300_000 and cut[5]["n_removed"] == 0
+    assert {r["doc_id"]: r["n_dropped"] for r in line_dedup.line_dedup(d).collect()} == dict.fromkeys(range(1, 6), 0)
+    pieces = packing.pack(d, BPE).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m")).collect()
+    assert all(r["n"] == r["m"] for r in pieces) and len(pieces) == 5
+    assert all(len(r["fingerprint"]) == 16 for r in simhash.simhash_components(d).collect())
+    assert {r["doc_id"] for r in simhash.drop_near_copies(d).collect()} == set(range(1, 6))
+    assert all(r["group_size"] == 1 for r in exact_dedup(d).collect())
+    assert {r["doc_id"]: r["lang_pred"] for r in language_id.identify(d).collect()}[4] == "und"
+
+
 def test_leftmost_minimum():
     rng = np.random.default_rng(0)
     for _ in range(60):
@@ -190,6 +237,40 @@ def test_packer_tiers_and_steps():
     assert max(per_step.values()) <= packing.STEP_TOKENS
 
 
+def test_packing_special_tokens_and_pool(spark):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(BPE)
+    as_text = Tokenizer.from_file(BPE)
+    as_text.encode_special_tokens = True
+    text = "hello <|endoftext|> world"
+    for special, t in ((True, plain), (False, as_text)):
+        got = packing.pack(docs(spark, [(1, text)]), BPE, with_ids=True, special=special).orderBy("start").collect()
+        assert [x for r in got for x in r["ids"]] == t.encode(text, add_special_tokens=False).ids + [0]
+    rng = random.Random(2)
+    pool = packing.token_pool(BPE)
+    pool.limit = 30_000  # starts anew again and again
+    for _ in range(8):
+        texts = ["\n".join(prose(rng, 12) for _ in range(4)) for _ in range(20)]
+        assert [x.tolist() for x in pool.encode_batch(texts)] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+        assert pool.held < 200_000
+    pool.limit = 96 << 20
+
+
+def test_step_groups_mix_tiers_evenly():
+    made = []
+    p = packing.Packer(lambda tier, step, w: made.append((tier, step)), buffer=100)
+    rng = np.random.default_rng(3)
+    for k in range(3000):
+        p.add(k, np.arange(int(rng.integers(1, 900)), dtype=np.int32))
+    p.close()
+    per_step = defaultdict(int)
+    for t, s in made:
+        per_step[s] += t
+    sizes = [per_step[s] for s in sorted(per_step)]
+    assert sorted(per_step) == list(range(len(sizes))) and max(sizes) <= packing.STEP_TOKENS and min(sizes) > 0.3 * packing.STEP_TOKENS
+
+
 def test_packing_empty(spark):
     assert packing.pack(docs(spark, []), BPE).count() == 0
 
@@ -388,7 +469,7 @@ def plain_lines(rows):
         for k, x in enumerate((t or "").split("\n")):
             if x.strip(" \t\r\x0b\x0c"):
                 first.setdefault(x, (*key(i), k))
-    gone = {a for a in first if len(a) >= 16 and any(len(b) >= 16 and first[b] < first[a] and near(a, b) for b in first)}
+    gone = {a for a in first if len(a) >= 16 and any(first[b] < first[a] and near(a, b) for b in first)}
     out = []
     for i, t in rows:
         parts = (t or "").split("\n")

@@ -14,7 +14,7 @@ from plumbline.llm.segment_bpe import encode_documents
 from plumbline.llm.simhash import simhash_components
 from plumbline.llm.sketch import fingerprints
 from plumbline.llm.suffix_dedup import suffix_dedup
-from plumbline.llm.token_rollup import TokenRollup, counted, inserts
+from plumbline.llm.token_rollup import TokenRollup, counted, deletes, inserts, revisions
 from plumbline.llm.warc import fixity
 
 
@@ -47,13 +47,26 @@ def op5_segment_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals by source, language and tokenizer version after the load of all documents, which is committed twice and counts once."""
+    """Totals of all documents by source, language and tokenizer version, reached by signed batches.
+
+    All documents are inserted with a provisional count (their words), twice, which counts once; all counts are revised to
+    the tokenizer's; labelled documents are deleted; the ledger is compacted; they are inserted again; it is compacted again.
+    """
     import public_tokenizers
 
-    rows = counted(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), "byte_bpe_50k-1")
+    rows = counted(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), "byte_bpe_50k-1", carried=["doc_id"])
+    rows = common.written(rows, "token-counts")
+    provisional = rows.withColumns({"n_tokens": F.col("n_words"), "tokenizer_version": F.lit("words")})
+    labelled = rows.join(_table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
     rollup = TokenRollup(spark, common.fresh_path(spark, "token-rollup"))
     for _ in range(2):
-        rollup.commit("documents-1", inserts(rows))
+        rollup.commit("load-1", inserts(provisional))
+    rollup.commit("revise-1", revisions(provisional, rows))
+    rollup.commit("withdraw-1", deletes(labelled))
+    rollup.compact()
+    rollup.commit("restore-1", inserts(labelled))
+    rollup.compact()
+    common.dropped(rows)
     return rollup.totals()
 
 

@@ -36,14 +36,14 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/plumbline/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str, options: dict[str, str] | None = None) -> DataFrame:
+def written(df: DataFrame, label: str, options: dict[str, str] | None = None, by: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again: cuts the lineage, survives lost executors, and lets Spark delete the shuffle files at once."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.options(**(options or {})).parquet(path)
+        df.write.options(**(options or {})).parquet(path, partitionBy=by)
     finally:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)

@@ -1,14 +1,17 @@
 """Exact dedup by a log-structured merge index, in DataFrame operations only.
 
-A batch of documents is a memtable: one scan reduces it to digests, which are
-flushed as runs (files sorted by digest, each with Parquet min/max statistics and
-a Bloom filter on the digest).  Compaction merges all runs into one that holds,
-per digest, the smallest identifier and the number of rows.  A lookup joins the
-flushed rows to that run, and the hits are verified on the bytes of the texts.
+Documents are flushed from memtables: one scan reduces a batch to digests, which each task sorts and writes
+as files of at most MEMTABLE rows with Parquet min/max statistics and a Bloom filter on the digest.  The files
+of a batch make RUNS runs of level 0.  FANOUT runs of a level are merged into one of the next, which keeps, per digest, the
+smallest identifier and the number of rows; the answer to all rows merges what is left.
+
+A point lookup asks every live run, of which statistics and filters let only those files be read that may have the digest.
+Hits, rows whose digest is repeated, are verified on the bytes: a filter of fixed size, made from the repeated digests, lets
+their texts pass; of each digest the smallest and the largest text must be equal.
 
 Edge cases.  A null text counts as empty.  Null identifiers sort after all
 others.  Of rows that repeat an identifier and a text, exactly one is kept.  An
-empty table gives an empty result.  Columns beyond id and text are not read.
+empty table gives an empty result.  Very long texts are hashed and compared as a whole.  Columns beyond id and text are not read.
 """
 
 from __future__ import annotations
@@ -19,10 +22,9 @@ from pyspark.sql import functions as F
 from plumbline.llm import common
 
 SPACES = r"[\x20\x09-\x0D]+"
-#: Bits of the filter of repeated digests: broadcast, so at most 8 MB; beyond FILTER_ROWS digests it would not sift and is left out.
-FILTER_BITS = 1 << 26
-FILTER_ROWS = FILTER_BITS // 8
-_BUCKET = 32768
+#: Rows of a memtable, which becomes a file; runs of a batch; runs of a level that are merged into one of the next.
+MEMTABLE, RUNS, FANOUT = 1_000_000, 8, 4
+_FILTER = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": "100000"}
 
 
 def normalised(column: str = "text") -> Column:
@@ -35,41 +37,64 @@ class DedupIndex:
     def __init__(self, spark: SparkSession, id_col: str = "doc_id", text_col: str = "text", digest_bytes: int = 32):
         self.spark, self.id_col, self.text_col, self.digest_bytes = spark, id_col, text_col, digest_bytes
         self.batches: list[DataFrame] = []
-        self.runs: list[DataFrame] = []  # level 0, one a flushed batch
-        self.merged: DataFrame | None = None  # level 1
+        self.flushed: list[DataFrame] = []  # all rows, a table a batch
+        self.levels: list[list[DataFrame]] = [[]]  # live runs: digest, first (the row with the smallest identifier), n
+        self.runs = 0
 
     def _digest(self, text: Column) -> Column:
         return F.substring(F.unhex(F.sha2(text, 256)), 1, self.digest_bytes)
 
     def insert(self, docs: DataFrame) -> None:
-        """Flush a batch: every task's memtable becomes one sorted run file with a Bloom filter."""
+        """Flush a batch to sorted runs of level 0 and merge full levels."""
         common.need(docs, [self.id_col, self.text_col])
+        run = F.pmod(F.spark_partition_id(), F.lit(RUNS)) + self.runs
         rows = docs.select(
-            self._digest(normalised(self.text_col)).alias("digest"),
-            F.col(self.id_col).alias("id"),
-            F.lit(len(self.runs)).alias("run"),
-            F.monotonically_increasing_id().alias("row"),
-        ).sortWithinPartitions("digest", "id", "row")
-        options = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": "100000"}
-        self.batches.append(docs.select(F.col(self.id_col).alias("id"), F.col(self.text_col).alias("text")))
-        self.runs.append(common.written(rows, "dedup-run", options))
-        self.merged = None
+            self._digest(normalised(self.text_col)).alias("digest"), common.named(self.id_col).alias("id"), F.monotonically_increasing_id().alias("row"), run.alias("run")
+        ).sortWithinPartitions("run", "digest", "id", "row")
+        table = common.written(rows, "dedup-runs", _FILTER | {"maxRecordsPerFile": str(MEMTABLE)}, by="run")
+        self.batches.append(docs.select(common.named(self.id_col).alias("id"), common.named(self.text_col).alias("text")))
+        self.flushed.append(table)
+        first = F.struct(F.col("id").isNull().alias("none"), "id", "run", "row").alias("first")
+        for k in range(self.runs, self.runs + RUNS):
+            self.levels[0].append(table.where(F.col("run") == k).select("digest", first, F.lit(1).cast("long").alias("n")))
+            self._fill()
+        self.runs += RUNS
+
+    def _fill(self) -> None:
+        """Merge every level that has FANOUT runs."""
+        for k, level in enumerate(self.levels):
+            if len(level) < FANOUT:
+                return
+            if k + 1 == len(self.levels):
+                self.levels.append([])
+            self.levels[k + 1].append(self._merge(level))
+            self.levels[k] = []
+
+    def _merge(self, runs: list[DataFrame]) -> DataFrame:
+        """One sorted run of several: per digest the smallest identifier, null ones last, and the number of rows.  Each task first sums what it reads."""
+        rows = runs[0]
+        for r in runs[1:]:
+            rows = rows.unionByName(r)
+        out = rows.groupBy("digest").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
+        out = common.written(out.sortWithinPartitions("digest"), "dedup-level", _FILTER)
+        for r in runs:
+            if hasattr(r, "_plumbline_path"):
+                common.dropped(r)
+        return out
 
     def compact(self) -> DataFrame:
-        """Merge the runs: (digest, first, n) with the smallest identifier first; null identifiers last.  Partial sums leave one row a digest and task."""
-        if self.merged is None:
-            rows = self._rows()
-            first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "run", "row")).alias("first")
-            merged = rows.groupBy("digest").agg(first, F.count(F.lit(1)).alias("n"))
-            self.merged = common.written(merged, "dedup-merged", {"parquet.bloom.filter.enabled#digest": "true"})
-        return self.merged
+        """Merge all live runs into one, the last level."""
+        runs = [r for level in self.levels for r in level]
+        if not runs:
+            raise ValueError("the index is empty: insert a batch first")
+        if len(runs) > 1 or not hasattr(runs[0], "_plumbline_path"):
+            self.levels = [[] for _ in self.levels] + [[self._merge(runs)]]
+        return self.levels[-1][0]
 
     def _rows(self) -> DataFrame:
-        if not self.runs:
-            raise ValueError("the index is empty: insert a batch first")
-        out = self.runs[0]
-        for r in self.runs[1:]:
-            out = out.unionByName(r)
+        out = self.flushed[0]
+        for t in self.flushed[1:]:
+            out = out.unionByName(t)
         return out
 
     def _texts(self) -> DataFrame:
@@ -80,39 +105,23 @@ class DedupIndex:
         return out.withColumn("digest", self._digest(F.col("norm")))
 
     def find(self, digests: list[bytes]) -> DataFrame:
-        """Point lookup: the pushed-down equality reads only the run files whose statistics and Bloom filter admit the digest."""
-        return self.compact().where(F.col("digest").isin([bytearray(d) for d in digests]))
-
-    def _sifted(self, texts: DataFrame, repeated: DataFrame, rows: int) -> DataFrame:
-        """Drop most texts whose digest is not repeated, by a bit per digest prefix; false hits fall out in the join that follows."""
-        if rows > FILTER_ROWS:
-            return texts
-        place = F.conv(F.substring(F.hex("digest"), 1, 7), 16, 10).cast("long") % FILTER_BITS
-        bits = repeated.select(place.alias("p")).groupBy((F.col("p") / _BUCKET).cast("long").alias("bucket")).agg(
-            F.bitmap_construct_agg(F.col("p") % _BUCKET).alias("bits")
-        )
-        placed = texts.withColumn("p", place).withColumn("bucket", (F.col("p") / _BUCKET).cast("long"))
-        at = (F.col("p") % _BUCKET).cast("int")
-        byte = F.conv(F.hex(F.substring(F.col("bits"), F.lit(1) + (at / 8).cast("int"), F.lit(1))), 16, 10).cast("int")
-        hit = F.getbit(byte, at % 8) == 1
-        return placed.join(F.broadcast(bits), "bucket").where(hit).drop("p", "bucket", "bits")
+        """Point lookup in every live run: the pushed-down equality reads only files whose statistics and Bloom filter admit the digest."""
+        hits = [r.where(F.col("digest").isin([bytearray(d) for d in digests])) for level in self.levels for r in level]
+        out = hits[0]
+        for h in hits[1:]:
+            out = out.unionByName(h)
+        return out.groupBy("digest").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
 
     def collisions(self) -> DataFrame:
         """Digests of unequal texts: of every repeated digest the smallest and the largest text are compared byte by byte.
 
-        Hot digests are reduced to two texts a task before anything moves; the others, of which
-        none has over 1/1000 of the rows, are shuffled once.
+        Copies are reduced to two texts a digest in each task before anything moves; a text that the filter lets pass
+        by chance is alone under its digest.
         """
-        merged = self.compact()
-        stats = merged.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 1).alias("m")).first()
-        total, rows = int(stats["n"] or 0), int(stats["m"] or 0)
-        hot = common.hot_keys(merged, "n", total).select("digest")
-        cold = merged.where("n > 1").join(F.broadcast(hot), "digest", "left_anti").select("digest")
-        texts = self._texts().select("digest", "norm")
-        ends = [F.min("norm").alias("lo"), F.max("norm").alias("hi")]
-        few = self._sifted(texts, cold, rows).join(cold, "digest").groupBy("digest").agg(*ends)
-        many = texts.join(F.broadcast(hot), "digest").groupBy("digest").agg(*ends)
-        return few.unionByName(many).where("lo <> hi").select("digest")
+        repeated = self.compact().where("n > 1").select(F.xxhash64("digest").alias("hash"))
+        texts = self._texts().select("digest", "norm", F.xxhash64("digest").alias("hash"))
+        passed = common.sifted(texts, repeated, "hash")
+        return passed.groupBy("digest").agg(F.min("norm").alias("lo"), F.max("norm").alias("hi")).where("lo <> hi").select("digest")
 
     def assign(self) -> DataFrame:
         """A row per flushed row: id, keep_id, group_size, kept, digest."""

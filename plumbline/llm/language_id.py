@@ -40,8 +40,8 @@ EPOCHS, BATCH, RATE = 8, 128, 0.015
 TASK_BATCH = 500
 #: Windows that pass through the network at once.
 GRID = 256
-#: For the gate: held-out documents that are looked at, in all and a language; how many it needs and what share must be right; a sure score; the highest floor.
-HELD_ROWS, HELD_EACH, HELD_LEAST, HELD_RIGHT, SURE, HIGHEST_FLOOR = 19_200, 300, 10, 0.9, 0.9, 0.5
+#: For the gate: held-out documents that are looked at, in all and a language; how many it needs and what share must be right; a sure score.
+HELD_ROWS, HELD_EACH, HELD_LEAST, HELD_RIGHT, SURE = 19_200, 300, 10, 0.9, 0.9
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -221,7 +221,7 @@ def predict(rows: DataFrame, carried: list[str], model: ByteCNN | None, text_col
 
 @dataclass
 class Gate:
-    """Which documents a language filter takes out.  ``trusted``: languages that the network tells on held-out documents; ``floor``: a score that none of them is below."""
+    """Which documents a language filter takes out.  ``trusted``: languages that the network tells on held-out documents; ``floor``: halfway between chance and the least score of any of them."""
 
     trusted: list[str]
     floor: float
@@ -249,7 +249,8 @@ def gate(docs: DataFrame, model: ByteCNN, id_col: str = "doc_id", text_col: str
         if len(right) >= HELD_LEAST and sum(right) >= HELD_RIGHT * len(right):
             trusted.append(label)
     scores = [r["score"] for r in seen if r["label"] in trusted]
-    return Gate(trusted, min([HIGHEST_FLOOR, *scores]) if scores else 0.0)
+    chance = 1 / len(model.languages)
+    return Gate(trusted, chance + (min(scores) - chance) / 2 if scores else 0.0)
 
 
 def _slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:

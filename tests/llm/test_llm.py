@@ -96,6 +96,22 @@ def test_exact_dedup_in_batches_with_collisions(spark, rows):
     assert index.find([text]).first()["n"] == 2
 
 
+def test_exact_dedup_levels(spark, rows, monkeypatch):
+    from plumbline.llm import exact_dedup as module
+
+    monkeypatch.setattr(module, "MEMTABLE", 2)
+    monkeypatch.setattr(module, "FANOUT", 3)
+    index = DedupIndex(spark)
+    for k in range(3):
+        index.insert(docs(spark, rows[k::3]))
+    assert [len(level) for level in index.levels] == [0, 2, 2]  # 24 runs of level 0
+    text = hashlib.sha256(b"word").digest()
+    assert index.find([text]).first()["n"] == 2
+    got = Counter((r["id"], r["keep_id"], r["group_size"]) for r in index.assign().collect())
+    assert got == Counter((i, min((j for j in ids if j is not None), default=None), len(ids)) for ids in plain_exact(rows).values() for i in ids)
+    assert exact_dedup(docs(spark, [])).count() == 0
+
+
 def test_exact_dedup_hot_group(spark, monkeypatch):
     monkeypatch.setattr(common, "HOT_SHARE", 5)
     got = exact_dedup(docs(spark, [(k, "same" if k % 2 else f"own {k}") for k in range(60)])).collect()
@@ -343,6 +359,39 @@ def test_token_rollup(spark, rows):
         r.commit("a/b", token_rollup.inserts(c))
 
 
+def test_token_rollup_against_the_tokenizer(spark, rows):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(BPE)
+    c = token_rollup.counted(docs(spark, rows), BPE, "v1", carried=["doc_id"]).collect()
+    assert Counter((r["doc_id"], r["n_tokens"], r["n_bytes"], r["n_words"]) for r in c) == Counter((i, len(t.encode(x or "", add_special_tokens=False).ids), len((x or "").encode()), len((x or "").split())) for i, x in rows)
+
+
+def test_token_rollup_query_and_commit_beside_compaction(spark, monkeypatch):
+    from plumbline.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    whole = token_rollup.counted(spark.read.parquet(f"{sf}/documents.parquet"), BPE, "byte_bpe_50k-1")
+    want = {tuple(r) for r in whole.groupBy("source", "lang", "tokenizer_version").agg(F.count("*"), F.sum("n_tokens"), F.sum("n_bytes")).collect()}
+    got = queries.op6_token_rollup(spark, sf)
+    assert {tuple(r) for r in got.select("source", "lang", "tokenizer_version", "n_docs", "n_tokens", "n_bytes").collect()} == want
+    r = token_rollup.TokenRollup(spark, common.fresh_path(spark, "t"))
+    one = spark.createDataFrame([("s", "en", "v", 1, 5, 9)], token_rollup.SCHEMA)
+    r.commit("a", one)
+    sums = r._sums
+
+    def late(*args):  # a batch is committed after the listing
+        r.commit("b", one)
+        return sums(*args)
+
+    monkeypatch.setattr(r, "_sums", late)
+    r.compact()
+    monkeypatch.undo()
+    assert r.totals().first()["n_docs"] == 2
+    r.compact()
+    assert r.totals().first()["n_docs"] == 2 and not r.commit("a", one) and not r.commit("b", one)
+
+
 # --- 7 ---
 
 
@@ -529,12 +578,53 @@ def test_sketch_merge_and_containment(spark):
     rng = random.Random(8)
     a, b = prose(rng, 3000), prose(rng, 3000)
     df = spark.createDataFrame([(a, b, a[: len(a) // 2])], "a string, b string, half string")
-    s = {c: sketch.sketch(F.col(c), scale=16) for c in ("a", "b", "half")}
+    s = {c: sketch.sketch(F.col(c)) for c in ("a", "b", "half")}
     r = df.select(sketch.contained(s["half"], s["a"]).alias("half"), sketch.contained(s["a"], s["half"]).alias("whole"), sketch.contained(s["a"], sketch.merged(s["a"], s["b"])).alias("merged"), sketch.likeness(s["a"], s["b"]).alias("no"),
                   (sketch.decoded(sketch.encoded(s["a"])) == s["a"]).alias("same")).first()
     assert r["half"] > 0.98 and 0.4 < r["whole"] < 0.6 and r["merged"] == 1 and r["no"] < 0.05 and r["same"]
 
 
+def plain_sketch(hashes, scale=sketch.SCALE, least=sketch.LEAST):
+    low = sorted({h for h in hashes if h < -(2**63) + 2**64 // scale})
+    return low if len(low) >= least else sorted(set(hashes))[:least]
+
+
+def plain_likeness(a, b, scale=sketch.SCALE, least=sketch.LEAST):
+    if not a or not b:
+        return float(len(a) == len(b))
+    limit = min(2**63 - 1 if len(s) < least else max(s[-1], -(2**63) + 2**64 // scale - 1) for s in (a, b))
+    a, b = ({x for x in s if x <= limit} for s in (a, b))
+    return len(a & b) / min(len(a), len(b)) if a and b else 0.0
+
+
+def test_fingerprints_against_plain(spark, rows, monkeypatch):
+    monkeypatch.setattr(sketch, "RANGE_ROWS", 3)
+    made = [r for r in rows if r[0] is not None and r[0] != 20]
+    order = sorted(made)
+    texts = {i: t or "" for i, t in order}
+    edited = {i: texts[i][: len(texts[i]) - len(texts[i]) // 4] + texts[order[(k + 1) % len(order)][0]][: len(texts[i]) // 4] for k, (i, _) in enumerate(order)}
+    hashed = spark.createDataFrame([(i, texts[i], edited[i]) for i in texts], "i long, t string, e string").select("i", *[sketch.shingle_hashes(F.col(c)).alias(c) for c in "te"]).collect()
+    own, changed = {r["i"]: plain_sketch(r["t"]) for r in hashed}, {r["i"]: plain_sketch(r["e"]) for r in hashed}
+    hexed = lambda s: "".join(f"{x % 2**64:016x}" for x in s)
+    for frame in (docs(spark, made), docs(spark, made).withColumn("doc_id", F.format_string("%05d", F.col("doc_id") + 100))):
+        got = {int(r["doc_id"]) - 100 * isinstance(r["doc_id"], str): r for r in sketch.fingerprints(frame).collect()}
+        assert len(got) == len(order)
+        for k, (i, _) in enumerate(order):
+            r, nxt = got[i], order[(k + 1) % len(order)][0]
+            assert (r["fingerprint"], r["edited_fingerprint"]) == (hexed(own[i]), hexed(changed[i]))
+            assert (r["near_edited"], r["near_next"]) == pytest.approx((plain_likeness(own[i], changed[i]), plain_likeness(own[i], own[nxt])))
+
+
+def test_sketch_merges_exactly(spark):
+    rng = random.Random(12)
+    for n in (3, 30, 400):
+        a, b = prose(rng, n), prose(rng, n // 2 + 1)
+        df = spark.createDataFrame([(a, b)], "a string, b string")
+        both = sketch._retained(F.concat(sketch.shingle_hashes(F.col("a")), sketch.shingle_hashes(F.col("b"))), sketch.SCALE, sketch.LEAST)
+        r = df.select(sketch.merged(sketch.sketch(F.col("a")), sketch.sketch(F.col("b"))).alias("m"), both.alias("both")).first()
+        assert r["m"] == r["both"]
+
+
 # --- 10 ---
 
 

@@ -1,7 +1,8 @@
 """WARC records and their Merkle fixity audit.
 
-Pages become WARC/1.1 response records, laid out one after another in files of
-FILE_RECORDS page identifiers each; a record has a byte range in its file.  The leaves of a
+Pages become WARC/1.1 response records, written one after another to compressed files of
+FILE_RECORDS page identifiers each; an index has every record's byte range in its file.  For an audit the
+files are read back and every record is cut out by its range.  The leaves of a
 file's tree are its records' SHA-256; a node above hashes its FANOUT children in order,
 together with the byte range that they cover.  A tree over the files' roots, in the order
 of their numbers, ends in the replica's root.
@@ -9,20 +10,22 @@ of their numbers, ends in the replica's root.
 An audit compares the roots of two replicas and descends level by level: only children of
 nodes that differ are looked at, so the work below the top follows the corruption and not the archive.
 
-Edge cases.  Null url or html count as empty.  Null page identifiers form a file of their own (number
--1).  Rows that repeat an identifier follow each other in the order of their bytes.  A record that one replica lacks
+Edge cases.  Null url or html count as empty.  Records without page identifier are dealt to files of about
+FILE_RECORDS (numbers -1 and below) by a hash of their content.  Bytes that are not UTF-8 are hashed as they are; parsing replaces them.  A very long
+page is one record; a file has to fit in a task's memory.  Further columns are not read.  Rows that repeat an identifier follow each other in the order of their bytes.  A record that one replica lacks
 is reported as missing there, with its place in the other; records are matched by identifier and hash, what is left by identifier in order.  An empty table has no tree and no differences.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm import common
 
 FANOUT = 16
 FILE_RECORDS = 1_024
+END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -43,25 +46,24 @@ def record(url: Column, html: Column) -> Column:
 
 
 def parse(data: Column) -> Column:
-    """(url, payload, digest_ok) of a record's bytes."""
-    text = F.decode(data, "UTF-8")
-    cut = F.instr(text, "\r\n\r\n")
+    """(url, payload, digest_ok) of a record's bytes; bytes that are not UTF-8 are replaced in url and payload, and count in the digest."""
+    text = F.decode(data, "ISO-8859-1")  # a character a byte, whatever the bytes
+    cut = F.instr(text, END)
     head = F.substring(text, F.lit(1), cut - 1)
     size = F.regexp_extract(head, r"Content-Length: (\d+)", 1).cast("int")
-    body = F.substring(data, F.octet_length(F.substring(text, F.lit(1), cut + 3)) + 1, size)
+    body = F.substring(data, cut + len(END), size)
     return F.struct(
-        F.regexp_extract(head, r"WARC-Target-URI: ([^\r]*)", 1).alias("url"),
-        F.decode(body, "UTF-8").alias("payload"),
+        F.make_valid_utf8(F.encode(F.regexp_extract(head, r"WARC-Target-URI: ([^\r]*)", 1), "ISO-8859-1").cast("string")).alias("url"),
+        F.make_valid_utf8(body.cast("string")).alias("payload"),
         (F.regexp_extract(head, r"sha256:([0-9a-f]{64})", 1) == F.sha2(body, 256)).alias("digest_ok"),
     )
 
 
-def laid_out(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def laid_out(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", null_files: int = 1) -> DataFrame:
     """(file_no, idx, page_id, begin, size, hash): every record's place in its file, and its hash.  Bytes are hashed where they are read; only the digests are shuffled and ordered."""
     common.need(pages, [id_col, url_col, html_col])
-    data = record(F.col(url_col).cast("string"), F.col(html_col).cast("string"))
-    rows = pages.select(F.col(id_col).alias("page_id"), F.octet_length(data).cast("long").alias("size"), F.sha2(data, 256).alias("hash"))
-    rows = rows.withColumn("file_no", F.coalesce(F.floor(F.col("page_id") / FILE_RECORDS), F.lit(-1)).cast("long"))
+    data = record(common.named(url_col).cast("string"), common.named(html_col).cast("string"))
+    rows = pages.select(common.named(id_col).alias("page_id"), F.octet_length(data).cast("long").alias("size"), F.sha2(data, 256).alias("hash"), _file_no(id_col, data, null_files))
     order = Window.partitionBy("file_no").orderBy("page_id", "hash")
     return rows.select(
         "file_no", (F.row_number().over(order) - 1).cast("long").alias("idx"), "page_id",
@@ -69,6 +71,45 @@ def laid_out(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
     )
 
 
+def _file_no(id_col: str, data: Column, null_files: int) -> Column:
+    page = common.named(id_col)
+    return F.coalesce(F.floor(page / FILE_RECORDS), -1 - F.pmod(F.xxhash64(data), F.lit(null_files))).cast("long").alias("file_no")
+
+
+def write_files(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", null_files: int = 1) -> None:
+    """Write the records in the order of :func:`laid_out`: one compressed WARC file in each folder ``file_no=...`` of ``path``."""
+    data = record(common.named(url_col).cast("string"), common.named(html_col).cast("string"))
+    rows = pages.select(common.named(id_col).alias("page_id"), data.alias("data"), F.sha2(data, 256).alias("hash"), _file_no(id_col, data, null_files))
+    placed = rows.repartition("file_no").sortWithinPartitions("file_no", "page_id", "hash")
+    # the writer ends every row with the two line ends that end a record
+    body = F.substring(F.col("data"), F.lit(1), F.octet_length("data") - len(END)).cast("string")
+    placed.select(body.alias("value"), "file_no").write.partitionBy("file_no").options(lineSep=END, compression="gzip").text(path)
+
+
+def read_records(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
+    """``index`` (file_no, idx, page_id, begin, size) with each record's bytes, cut out of its file by its range."""
+    files = spark.read.schema("value string, file_no long").text(path, wholetext=True).select("file_no", F.col("value").cast("binary").alias("bytes"))
+    ranges = index.groupBy("file_no").agg(F.array_sort(F.collect_list(F.struct("idx", "page_id", "begin", "size"))).alias("ranges"))
+    each = files.join(ranges, "file_no").select("file_no", F.explode(F.transform("ranges", lambda r: F.struct(r["idx"].alias("idx"), r["page_id"].alias("page_id"), r["begin"].alias("begin"), r["size"].alias("size"),
+        F.substring(F.col("bytes"), (r["begin"] + 1).cast("int"), r["size"].cast("int")).alias("data")))).alias("r"))
+    return each.select("file_no", "r.*")
+
+
+def archived(pages: DataFrame, null_files: int = 1, columns: tuple[str, str, str] = ("page_id", "url", "html")) -> DataFrame:
+    """The leaves of a replica: its pages are written to files, read back by the index and hashed."""
+    spark = pages.sparkSession
+    path = common.fresh_path(spark, "warc-files")
+    index = common.written(laid_out(pages, *columns, null_files).drop("hash"), "warc-index")
+    if index.isEmpty():
+        return common.written(laid_out(pages, *columns), "warc-leaves")
+    write_files(pages, path, *columns, null_files)
+    found = read_records(spark, path, index).select("file_no", "idx", "page_id", "begin", "size", F.sha2("data", 256).alias("hash"))
+    out = common.written(found, "warc-leaves")
+    common.delete(spark, path)
+    common.dropped(index)
+    return out
+
+
 def _parents(nodes: DataFrame, keys: list[str]) -> DataFrame:
     """The level above: FANOUT neighbours in order, with the range they cover."""
     up = nodes.withColumn("up", F.floor(F.col("idx") / FANOUT)).groupBy(*keys, "up").agg(
@@ -81,17 +122,20 @@ def _parents(nodes: DataFrame, keys: list[str]) -> DataFrame:
 class MerkleTree:
     """``levels``: tables from the records up to one node a file, then from the files up to one root."""
 
-    def __init__(self, records: DataFrame):
-        records = common.written(records, "warc-leaves")
+    def __init__(self, records: DataFrame, beside: DataFrame | None = None):
+        """Over written ``records``; with ``beside`` as high as a tree over these, so that the two can be compared level by level."""
         self.records, self.files = records, [records.select("file_no", "idx", "begin", "size", "hash")]
-        most = records.groupBy("file_no").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        both = [r for r in (records, beside) if r is not None]
+        most, last, least = 0, 0, 0
+        for r in both:
+            n = r.groupBy("file_no").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.max("file_no"), F.min("file_no")).first()
+            most, last, least = max(most, n[0] or 0), max(last, (n[1] or 0) + 1), min(least, (n[2] or 0) + 1)
         while most > 1:
             self.files.append(common.written(_parents(self.files[-1], ["file_no"]), "warc-nodes"))
             most = -(-most // FANOUT)
         # file numbers, from 0 on, are the order of the roots; the file without identifiers has -1
         top = self.files[-1].select((F.col("file_no") + 1).alias("idx"), "begin", "size", "hash")
         self.tops = [common.written(top, "warc-roots")]
-        last, least = (v or 0 for v in self.tops[0].agg(F.max("idx"), F.min("idx")).first())
         while last > 0 or least < -1:  # nodes from 0 on end in node 0, negative ones in node -1
             self.tops.append(common.written(_parents(self.tops[-1], []), "warc-roots"))
             last, least = last // FANOUT, least // FANOUT
@@ -103,22 +147,17 @@ class MerkleTree:
 
 def audit(a: MerkleTree, b: MerkleTree) -> DataFrame:
     """Records in which the replicas differ: file_no, idx, page_id, begin and size in a, hash_a, hash_b, finding."""
-    if len(a.tops) != len(b.tops) or len(a.files) != len(b.files):
-        suspects = None  # trees of unlike height: compare from the records
-    else:
-        suspects = a.tops[-1].select("idx").unionByName(b.tops[-1].select("idx")).distinct()
-        for x, y in zip(reversed(a.tops), reversed(b.tops), strict=True):
-            suspects = _differing(x, y, suspects, ["idx"])
-            if x is not a.tops[0]:
-                suspects = suspects.select(F.explode(F.sequence(F.col("idx") * FANOUT, F.col("idx") * FANOUT + FANOUT - 1)).alias("idx"))
-        suspects = common.written(suspects.select((F.col("idx") - 1).alias("file_no"), F.lit(0).cast("long").alias("idx")), "warc-suspects")
-        for x, y in zip(reversed(a.files[1:]), reversed(b.files[1:]), strict=True):
-            found = _differing(x, y, suspects, ["file_no", "idx"])
-            suspects = common.written(found.select("file_no", F.explode(F.sequence(F.col("idx") * FANOUT, F.col("idx") * FANOUT + FANOUT - 1)).alias("idx")), "warc-suspects")
-    left, right = a.records, b.records
-    columns = left.columns
-    if suspects is not None:
-        left, right = (x.join(suspects, ["file_no", "idx"], "left_semi") for x in (left, right))
+    suspects = a.tops[-1].select("idx").unionByName(b.tops[-1].select("idx")).distinct()
+    for x, y in zip(reversed(a.tops), reversed(b.tops), strict=True):
+        suspects = _differing(x, y, suspects, ["idx"])
+        if x is not a.tops[0]:
+            suspects = suspects.select(F.explode(F.sequence(F.col("idx") * FANOUT, F.col("idx") * FANOUT + FANOUT - 1)).alias("idx"))
+    suspects = common.written(suspects.select((F.col("idx") - 1).alias("file_no"), F.lit(0).cast("long").alias("idx")), "warc-suspects")
+    for x, y in zip(reversed(a.files[1:]), reversed(b.files[1:]), strict=True):
+        found = _differing(x, y, suspects, ["file_no", "idx"])
+        suspects = common.written(found.select("file_no", F.explode(F.sequence(F.col("idx") * FANOUT, F.col("idx") * FANOUT + FANOUT - 1)).alias("idx")), "warc-suspects")
+    columns = a.records.columns
+    left, right = (x.join(suspects, ["file_no", "idx"], "left_semi") for x in (a.records, b.records))
     # equal records meet wherever they are in the file, so a record that one replica lacks does not shift the others
     left, right = (t.withColumn("_k", F.row_number().over(Window.partitionBy("file_no", "page_id", "hash").orderBy("idx"))) for t in (left, right))
     only_a, only_b = _without(left, right, ["file_no", "page_id", "hash", "_k"]), _without(right, left, ["file_no", "page_id", "hash", "_k"])
@@ -148,8 +187,10 @@ def _differing(x: DataFrame, y: DataFrame, suspects: DataFrame, keys: list[str])
 
 
 def fixity(pages: DataFrame, replica: DataFrame) -> DataFrame:
-    """Every record of ``pages`` with its place, its hash and what the audit against ``replica`` found: ok, differs, missing in b; and the records that only the replica has."""
-    a, b = MerkleTree(laid_out(pages)), MerkleTree(laid_out(replica))
+    """Write both replicas' files and audit them: every record of ``pages`` with its place, its hash and what the audit against ``replica`` found: ok, differs, missing in b; and the records that only the replica has."""
+    nulls = common.total_rows(pages.where(F.col("page_id").isNull()))
+    left, right = (archived(x, 1 + nulls // FILE_RECORDS) for x in (pages, replica))
+    a, b = MerkleTree(left, right), MerkleTree(right, left)
     if a.root() == b.root():
         return a.records.select("file_no", "idx", "page_id", "begin", "size", F.col("hash").alias("record_sha256"), F.col("hash").alias("replica_sha256"), F.lit("ok").alias("finding"))
     found = common.written(audit(a, b), "warc-found")

@@ -638,6 +638,18 @@ def test_warc_records(spark):
     assert bytes(r[0]["d"]).startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and bytes(r[0]["d"]).endswith(b"\r\n\r\n")
 
 
+def test_warc_files_read_by_offset(spark):
+    rows = [(k, f"http://h/{k}", "<p>" + "é\r\n\r\n" * k + "</p>") for k in range(2100)] + [(None, None, None), (None, "u", "x"), (5, "again", "y")]
+    p = pages(spark, rows)
+    path = common.fresh_path(spark, "w")
+    warc.write_files(p, path)
+    found = warc.read_records(spark, path, warc.laid_out(p)).withColumn("p", warc.parse(F.col("data"))).select("page_id", "p.*", (F.sha2("data", 256)).alias("h")).collect()
+    assert Counter((r["page_id"], r["url"], r["payload"], r["digest_ok"]) for r in found) == Counter((i, u or "", h or "", True) for i, u, h in rows)
+    assert Counter(r["h"] for r in found) == Counter(r["hash"] for r in warc.laid_out(p).collect())
+    broken = spark.sql("SELECT unhex(hex('WARC/1.1\r\nWARC-Target-URI: http://x\r\nWARC-Payload-Digest: sha256:00\r\nContent-Length: 3\r\n\r\n') || 'ff41fe' || '0d0a0d0a') AS d").select(warc.parse(F.col("d")).alias("p")).first()["p"]
+    assert broken["url"] == "http://x" and "A" in broken["payload"] and broken["digest_ok"] is False
+
+
 def test_warc_audit(spark, monkeypatch):
     monkeypatch.setattr(warc, "FILE_RECORDS", 40)
     monkeypatch.setattr(warc, "FANOUT", 3)

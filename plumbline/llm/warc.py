@@ -90,9 +90,14 @@ def read_records(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
     """``index`` (file_no, idx, page_id, begin, size) with each record's bytes, cut out of its file by its range."""
     files = spark.read.schema("value string, file_no long").text(path, wholetext=True).select("file_no", F.col("value").cast("binary").alias("bytes"))
     ranges = index.groupBy("file_no").agg(F.array_sort(F.collect_list(F.struct("idx", "page_id", "begin", "size"))).alias("ranges"))
-    each = files.join(ranges, "file_no").select("file_no", F.explode(F.transform("ranges", lambda r: F.struct(r["idx"].alias("idx"), r["page_id"].alias("page_id"), r["begin"].alias("begin"), r["size"].alias("size"),
-        F.substring(F.col("bytes"), (r["begin"] + 1).cast("int"), r["size"].cast("int")).alias("data")))).alias("r"))
-    return each.select("file_no", "r.*")
+
+    def cut(file: Column) -> Column:
+        part = lambda r: F.substring(file["bytes"], (r["begin"] + 1).cast("int"), r["size"].cast("int")).alias("data")
+        return F.transform(file["ranges"], lambda r: F.struct(*[r[c].alias(c) for c in ("idx", "page_id", "begin", "size")], part(r)))
+
+    # an array of one element binds the file's bytes, so that they are not copied for every record
+    file = F.array(F.struct("bytes", "ranges"))
+    return files.join(ranges, "file_no").select("file_no", F.explode(F.flatten(F.transform(file, cut))).alias("r")).select("file_no", "r.*")
 
 
 def archived(pages: DataFrame, null_files: int = 1, columns: tuple[str, str, str] = ("page_id", "url", "html")) -> DataFrame:

@@ -85,7 +85,7 @@ def wl_histogram(root: Node, rounds: int = WL_ROUNDS) -> list[float]:
     label = {id(n): _digest(n.type) for n in order}
     bins = Counter(v % BINS for v in label.values())
     for _ in range(min(rounds, 5, max(max(depth.values()), 1))):
-        label = {id(n): _digest(str(label[id(n)]) + "".join(sorted(str(label[id(k)]) for k in n.kids))) for n in order}
+        label = {id(n): _digest(str(label[id(n)]) + "||" + "||".join(sorted(str(label[id(k)]) for k in n.kids))) for n in order}
         bins.update(v % BINS for v in label.values())
     total = sum(bins.values())
     return [bins[b] / total for b in range(BINS)]
@@ -111,7 +111,7 @@ def _python_declarations(source: str) -> list[tuple[str, int, int, int]]:
 
     try:
         tree = ast.parse(source)
-    except (SyntaxError, ValueError, RecursionError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
         return []
     lines, out = source.split("\n"), []
 
@@ -362,7 +362,7 @@ def evaluate_files(files: DataFrame, key: str, model=None, top: int = 3, source:
         return evaluate_texts(joined, key, "source", top, dominant="is_dominant")
     first = unit_table(base, key).where("unit_idx = 0").select(key, "features", "partial_parse")
     p = project(first, "features", model, F.col("partial_parse")).select(key, "l_drift", "l_virtue", "quality_flag")
-    accept, reject = model.accept or scoring.ACCEPT, model.reject or scoring.REJECT
+    accept, reject = (d if v is None else v for v, d in ((model.accept, scoring.ACCEPT), (model.reject, scoring.REJECT)))
     return evaluate_texts(joined.join(p, key, "left"), key, "source", top, model.sigma_drift, model.sigma_virtue, "l_drift", "l_virtue", None, "is_dominant", accept, reject)
 
 

@@ -20,14 +20,20 @@ from plumbline.functions.text_metrics import MIN_BYTES, NCD_LEVEL
 MAX_BYTES = 64 << 20
 
 
+def joint_size(begun, y: bytes) -> int:
+    """Size of x and y compressed together, from a compressor that has taken x."""
+    c = begun.copy()
+    return len(c.compress(y)) + len(c.flush())
 
 
-def ncd(x: bytes, y: bytes, cx: int, cy: int) -> float:
-    """Distance from the joint size, x first."""
+def distance(joint: int, cx: int, cy: int) -> float:
+    """Normalised compression distance from the joint size, x first."""
     most = max(cx, cy)
-    if not most:
-        return 0.0
-    return max(0.0, min(1.0, (len(zlib.compress(x + y, NCD_LEVEL)) - min(cx, cy)) / most))
+    return max(0.0, min(1.0, (joint - min(cx, cy)) / most)) if most else 0.0
+
+
+def ncd(x: bytes, y: bytes, cx: int, cy: int) -> float:
+    return distance(len(zlib.compress(x + y, NCD_LEVEL)), cx, cy)
 
 
 def _blocks(exemplars: DataFrame, key: str, text: str) -> Iterator[list[tuple]]:
@@ -44,33 +50,33 @@ def _blocks(exemplars: DataFrame, key: str, text: str) -> Iterator[list[tuple]]:
 
 
 def nearest(texts: DataFrame, key: str, text: str, exemplars: DataFrame, exemplar_key: str, exemplar_text: str) -> DataFrame:
-    """(key, nearest_exemplar_id, ncd); the first exemplar wins ties; null under MIN_BYTES bytes or without exemplars."""
+    """(key, nearest_exemplar_id, ncd) of every row, repeated keys included; the first exemplar wins ties; null under MIN_BYTES bytes or without exemplars."""
     kinds = dict(texts.dtypes)[key], dict(exemplars.dtypes)[exemplar_key]
-    schema = f"k {kinds[0]}, e {kinds[1]}, d double"
-    spark, out = texts.sparkSession, None
+    spark = texts.sparkSession
+    out = texts.select(F.col(key).alias("k"), F.col(text).alias("t"), F.lit(None).cast(kinds[1]).alias("e"), F.lit(None).cast("double").alias("d"))
+    sent = []
     for block in _blocks(exemplars, exemplar_key, exemplar_text):
-        sent = spark.sparkContext.broadcast([(e, raw, len(zlib.compress(raw, NCD_LEVEL))) for e, raw in block])
+        # the tasks see exemplars by their number in the block, so keys may be of any type
+        sent.append(spark.sparkContext.broadcast([(raw, len(zlib.compress(raw, NCD_LEVEL))) for _, raw in block]))
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], sent=sent[-1]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                es, ds = [], []
-                for t in b.column(1).to_pylist():
-                    raw = (t or "").encode("utf-8")
-                    best = (None, None)
+                at, ds = [], []
+                for t, before in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True):
+                    raw, best = (t or "").encode("utf-8"), (None, before)
                     if len(raw) >= MIN_BYTES:
+                        begun = zlib.compressobj(NCD_LEVEL)
+                        head = len(begun.compress(raw))
                         cx = len(zlib.compress(raw, NCD_LEVEL))
-                        for e, y, cy in sent.value:
-                            d = ncd(raw, y, cx, cy)
+                        for i, (y, cy) in enumerate(sent.value):
+                            d = distance(head + joint_size(begun, y), cx, cy)
                             if best[1] is None or d < best[1]:
-                                best = (e, d)
-                    es.append(best[0])
+                                best = (i, d)
+                    at.append(best[0])
                     ds.append(best[1])
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(es, e_type), pa.array(ds, pa.float64())], names=["k", "e", "d"])
-
-        e_type = pa.int64() if kinds[1] == "bigint" else pa.int32() if kinds[1] == "int" else pa.string()
-        part = texts.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return texts.select(key, F.lit(None).cast(kinds[1]).alias("nearest_exemplar_id"), F.lit(None).cast("double").alias("ncd"))
-    best = out.groupBy("k").agg(F.min(F.when(F.col("d").isNotNull(), F.struct("d", "e"))).alias("b"))
-    return best.select(F.col("k").alias(key), F.col("b.e").alias("nearest_exemplar_id"), F.col("b.d").alias("ncd"))
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), pa.array(at, pa.int32()), pa.array(ds, pa.float64())], names=["k", "t", "e", "at", "d"])
+
+        names = F.array(*[F.lit(e).cast(kinds[1]) for e, _ in block])
+        part = out.mapInArrow(run, f"k {kinds[0]}, t string, e {kinds[1]}, at int, d double")
+        out = part.select("k", "t", F.when(F.col("at").isNull(), F.col("e")).otherwise(F.get(names, F.col("at"))).alias("e"), "d")
+    return out.select(F.col("k").alias(key), F.col("e").alias("nearest_exemplar_id"), F.col("d").alias("ncd"))

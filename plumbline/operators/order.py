@@ -14,12 +14,12 @@ RANGE_VALUES, MAX_RANGES = 50_000, 2_048
 
 
 def _bounds(df: DataFrame, value: str) -> list:
-    n = df.count()
-    ranges = min(MAX_RANGES, n // RANGE_VALUES)
+    """Bounds of the ranges: one pass counts the values and takes MAX_RANGES quantiles, of which as many are used as there are ranges."""
+    got = df.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(value, [k / MAX_RANGES for k in range(1, MAX_RANGES)], 10 * MAX_RANGES).alias("b")).first()
+    ranges = min(MAX_RANGES, got["n"] // RANGE_VALUES)
     if ranges < 2:
         return []
-    got = df.agg(F.percentile_approx(value, [k / ranges for k in range(1, ranges)], 10 * MAX_RANGES).alias("b")).first()["b"]
-    return sorted(set(got or []))
+    return sorted({got["b"][k * MAX_RANGES // ranges - 1] for k in range(1, ranges)})
 
 
 def cumulative(df: DataFrame, value: str, groups: list[str] | None = None) -> DataFrame:

@@ -38,6 +38,11 @@ def scorecard_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     return packed.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"{n}.pass_rate"), F.col(f"{n}.mean"), F.col(f"{n}.min"), F.col(f"{n}.max")) for n in columns])).alias("r")).select("r.*")
 
 
+def anti_pattern_counts(found: DataFrame) -> DataFrame:
+    """(name, n): how many units show each anti-pattern."""
+    return found.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
 def level(decision: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in LEVELS.items() for x in kv]), decision)
 

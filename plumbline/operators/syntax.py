@@ -97,7 +97,7 @@ def _python(source: str) -> Node:
 
     try:
         root = build(ast.parse(source), 1)
-    except (SyntaxError, ValueError, RecursionError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError):  # MemoryError: too deeply nested for the parser
         return Node("module", 1, len(lines), "", [Node("ERROR", 1, len(lines), "", _tokens_tree(source, "python"), True)])
     root.start, root.end = 1, len(lines)
     return root

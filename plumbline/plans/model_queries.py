@@ -270,11 +270,16 @@ def wl_histogram_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def nearest_exemplar_ncd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of all benchmark texts the one at the smallest compression distance to each document; null under 50 bytes."""
+    """The exemplar at the smallest compression distance to each document; null under 50 bytes.
+
+    Exemplars are the medoids of the fixed model, one a component at most: documents whose identifiers the medoid vectors have.
+    """
     from plumbline.operators.exemplars import nearest
 
-    docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    return nearest(docs, "doc_id", "text", bench, "item_id", "text").select("doc_id", "nearest_exemplar_id", F.round("ncd", 6).alias("ncd"))
+    docs = table(spark, sf_dir, "documents")
+    chosen = exemplar_medoids(spark, sf_dir).select(F.col("vec_id").alias("doc_id"))
+    exemplars = docs.join(F.broadcast(chosen), "doc_id", "left_semi")
+    return nearest(docs, "doc_id", "text", exemplars, "doc_id", "text").select("doc_id", "nearest_exemplar_id", F.round("ncd", 6).alias("ncd"))
 
 
 @query(None)

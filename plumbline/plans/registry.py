@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from plumbline.plans import model_queries, stats_queries, text_queries
+from plumbline.plans import model_queries, score_queries, stats_queries, text_queries
 
-_MODULES = [text_queries, stats_queries, model_queries]
+_MODULES = [text_queries, stats_queries, model_queries, score_queries]
 QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
 

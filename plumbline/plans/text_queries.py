@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,8 +37,16 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same for queries that pass over the scores several times: texts are read and counted once."""
-    return scored(spark, sf_dir).persist()
+    """The same for queries that pass over the scores several times: texts are read and counted once, and the scores are written to the checkpoint folder."""
+    return once(scored(spark, sf_dir))
+
+
+def once(df: DataFrame) -> DataFrame:
+    """A checkpoint in the folder of ``spark.checkpoint.dir``: no cached block stays behind, and a lost executor loses nothing."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plumbline-"))
+    return df.checkpoint()
 
 
 #: The same in SQL.

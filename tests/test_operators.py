@@ -195,3 +195,52 @@ def test_attributions_benchmark_and_requests(spark):
     body = json.dumps({"files": [{"source": "x = 1\n" * 30, "language": "python", "file_path": "a"}, {"source": "y" * (benchmark.MAX_FILE_BYTES + 1), "language": "python", "file_path": "b"}]})
     got = {r["file_path"]: r for r in benchmark.evaluate_requests(spark.createDataFrame([(body,)], "j string"), "j").collect()}
     assert got["a"]["score"] is not None and got["b"]["warning"] == "file too large" and got["b"]["score"] is None
+
+
+def test_deeply_nested_source_is_an_error_tree(spark):
+    from plumbline.operators import code
+
+    source = "x = " + "-" * 30_000 + "1\n"
+    files = spark.createDataFrame([(1, source, "python"), (2, "def f(a):\n    return a\n", "python")], "k long, source string, language string")
+    got = {r["k"]: r["partial_parse"] for r in code.unit_table(files, "k").where("unit_idx = 0").collect()}
+    assert got[1] and not got[2]
+    assert code.declaration_table(files, "k").count() == 2
+
+
+def test_wl_labels_are_separated():
+    from plumbline.operators import code
+    from plumbline.operators.syntax import Node
+
+    leaf = lambda t: Node(t, 1, 1, "")
+    root = Node("r", 1, 1, "", [leaf("b"), leaf("a")])
+    d = code._digest
+    first = [d("r"), d("b"), d("a")]
+    second = [d(str(d("r")) + "||" + "||".join(sorted([str(d("b")), str(d("a"))]))), d(str(d("b")) + "||"), d(str(d("a")) + "||")]
+    want = [0.0] * 64
+    for v in first + second:
+        want[v % 64] += 1 / 6
+    assert code.wl_histogram(root, 1) == pytest.approx(want)
+
+
+def test_nearest_keeps_repeated_keys_and_any_type(spark, monkeypatch):
+    import random
+    import zlib
+
+    from plumbline.functions.text_metrics import MIN_BYTES, NCD_LEVEL
+    from plumbline.operators import exemplars
+
+    rng = random.Random(1)
+    say = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps"]) + rng.choice("xyz") for _ in range(n))
+    texts = [(1.5, say(40)), (1.5, say(40)), (2.5, "short"), (2.5, None), (3.5, say(4000))]
+    chosen = [(f"e{k}", say(60 + 400 * k)) for k in range(5)]
+    t, e = spark.createDataFrame(texts, "k double, t string"), spark.createDataFrame(chosen, "e string, t string")
+    size = lambda b: len(zlib.compress(b, NCD_LEVEL))
+    want = []
+    for k, x in texts:
+        x = (x or "").encode()
+        d = [(round(exemplars.ncd(x, y.encode(), size(x), size(y.encode())), 9), i) for i, (_, y) in enumerate(chosen)]
+        want.append((k, *((f"e{min(d)[1]}", min(d)[0]) if len(x) >= MIN_BYTES else (None, None))))
+    for most in (exemplars.MAX_BYTES, 1_000):  # one block, several blocks
+        monkeypatch.setattr(exemplars, "MAX_BYTES", most)
+        got = [(r["k"], r["nearest_exemplar_id"], None if r["ncd"] is None else round(r["ncd"], 9)) for r in exemplars.nearest(t, "k", "t", e, "e", "t").collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)

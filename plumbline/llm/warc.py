@@ -1,8 +1,8 @@
 """WARC records and their Merkle fixity audit.
 
 Pages become WARC/1.1 response records, written one after another to compressed files of
-FILE_RECORDS page identifiers each; an index has every record's byte range in its file.  For an audit the
-files are read back and every record is cut out by its range.  The leaves of a
+FILE_RECORDS page identifiers each; an index has every record's byte range in its file, and the last record of a file
+lists the ranges too.  For an audit the files are read back and every record is cut out by its range where its file is read.  The leaves of a
 file's tree are its records' SHA-256; a node above hashes its FANOUT children in order,
 together with the byte range that they cover.  A tree over the files' roots, in the order
 of their numbers, ends in the replica's root.
@@ -27,6 +27,9 @@ FANOUT = 16
 FILE_RECORDS = 1_024
 END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
+#: Begins the record that ends a file and lists the others' ranges.
+INDEX_HEAD = "WARC/1.1\r\nWARC-Type: metadata\r\nContent-Type: text/plain\r\n"
+RANGE = ["idx", "begin", "size"]
 
 
 def record(url: Column, html: Column) -> Column:
@@ -76,40 +79,58 @@ def _file_no(id_col: str, data: Column, null_files: int) -> Column:
     return F.coalesce(F.floor(page / FILE_RECORDS), -1 - F.pmod(F.xxhash64(data), F.lit(null_files))).cast("long").alias("file_no")
 
 
-def write_files(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", null_files: int = 1) -> None:
-    """Write the records in the order of :func:`laid_out`: one compressed WARC file in each folder ``file_no=...`` of ``path``."""
+def write_files(
+    pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", null_files: int = 1, index: DataFrame | None = None
+) -> None:
+    """Write the records in the order of :func:`laid_out` (``index``, if it is at hand): one compressed WARC file in each folder ``file_no=...`` of ``path``.
+
+    The last record of a file lists the ranges of the others, so that a file can be cut up where it is read.
+    """
     data = record(common.named(url_col).cast("string"), common.named(html_col).cast("string"))
-    rows = pages.select(common.named(id_col).alias("page_id"), data.alias("data"), F.sha2(data, 256).alias("hash"), _file_no(id_col, data, null_files))
-    placed = rows.repartition("file_no").sortWithinPartitions("file_no", "page_id", "hash")
     # the writer ends every row with the two line ends that end a record
-    body = F.substring(F.col("data"), F.lit(1), F.octet_length("data") - len(END)).cast("string")
-    placed.select(body.alias("value"), "file_no").write.partitionBy("file_no").options(lineSep=END, compression="gzip").text(path)
-
-
-def read_records(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
-    """``index`` (file_no, idx, page_id, begin, size) with each record's bytes, cut out of its file by its range."""
-    files = spark.read.schema("value string, file_no long").text(path, wholetext=True).select("file_no", F.col("value").cast("binary").alias("bytes"))
-    ranges = index.groupBy("file_no").agg(F.array_sort(F.collect_list(F.struct("idx", "page_id", "begin", "size"))).alias("ranges"))
+    body = F.substring(data, F.lit(1), F.octet_length(data) - len(END)).cast("string")
+    rows = pages.select(_file_no(id_col, data, null_files), F.lit(False).alias("last"), common.named(id_col).alias("page_id"), F.sha2(data, 256).alias("hash"), body.alias("value"))
+    if index is None:
+        index = laid_out(pages, id_col, url_col, html_col, null_files)
+    ranges = index.groupBy("file_no").agg(F.array_sort(F.collect_list(F.struct("idx", "begin", "size"))).alias("ranges"))
+    lines = F.array_join(F.transform("ranges", lambda r: F.concat_ws(" ", *[r[c].cast("string") for c in RANGE])), "\n")
+    listed = F.concat(F.lit(INDEX_HEAD + "Content-Length: "), F.octet_length(lines).cast("string"), F.lit(END), lines)
+    last = ranges.select("file_no", F.lit(True).alias("last"), F.lit(None).cast(rows.schema["page_id"].dataType).alias("page_id"), F.lit("").alias("hash"), listed.alias("value"))
+    placed = rows.unionByName(last).repartition("file_no").sortWithinPartitions("file_no", "last", "page_id", "hash")
+    placed.select("value", "file_no").write.partitionBy("file_no").options(lineSep=END, compression="gzip").text(path)
+
+
+def cut_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file_no, idx, begin, size, data): the records of the files under ``path``, cut out by the ranges that each file lists, in the task that reads it.  A file without a legible list has no records."""
+    files = spark.read.schema("value string, file_no long").text(path, wholetext=True)
+    lines = F.split(F.get(F.split(F.substring_index("value", INDEX_HEAD, -1), END), 1), "\n")
+    ranges = F.transform(lines, lambda line: F.struct(*[F.get(F.split(line, " "), i).try_cast("long").alias(c) for i, c in enumerate(RANGE)]))
 
     def cut(file: Column) -> Column:
         part = lambda r: F.substring(file["bytes"], (r["begin"] + 1).cast("int"), r["size"].cast("int")).alias("data")
-        return F.transform(file["ranges"], lambda r: F.struct(*[r[c].alias(c) for c in ("idx", "page_id", "begin", "size")], part(r)))
+        return F.transform(file["ranges"], lambda r: F.struct(*[r[c].alias(c) for c in RANGE], part(r)))
 
     # an array of one element binds the file's bytes, so that they are not copied for every record
     file = F.array(F.struct("bytes", "ranges"))
-    return files.join(ranges, "file_no").select("file_no", F.explode(F.flatten(F.transform(file, cut))).alias("r")).select("file_no", "r.*")
+    cuts = files.select("file_no", F.col("value").cast("binary").alias("bytes"), ranges.alias("ranges"))
+    return cuts.select("file_no", F.explode(F.flatten(F.transform(file, cut))).alias("r")).select("file_no", "r.*")
+
+
+def read_records(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
+    """``index`` (file_no, idx, page_id, begin, size) with each record's bytes, cut out of its file by its range."""
+    return index.select("file_no", "idx", "page_id", "begin", "size").join(cut_records(spark, path).select("file_no", "idx", "data"), ["file_no", "idx"])
 
 
 def archived(pages: DataFrame, null_files: int = 1, columns: tuple[str, str, str] = ("page_id", "url", "html")) -> DataFrame:
-    """The leaves of a replica: its pages are written to files, read back by the index and hashed."""
+    """The leaves of a replica: its pages are written to files, cut out of them again and hashed; only the hashes meet the index.  A record that can't be read has no hash."""
     spark = pages.sparkSession
     path = common.fresh_path(spark, "warc-files")
     index = common.written(laid_out(pages, *columns, null_files).drop("hash"), "warc-index")
     if index.isEmpty():
         return common.written(laid_out(pages, *columns), "warc-leaves")
-    write_files(pages, path, *columns, null_files)
-    found = read_records(spark, path, index).select("file_no", "idx", "page_id", "begin", "size", F.sha2("data", 256).alias("hash"))
-    out = common.written(found, "warc-leaves")
+    write_files(pages, path, *columns, null_files, index)
+    found = cut_records(spark, path).select("file_no", "idx", F.sha2("data", 256).alias("hash"))
+    out = common.written(index.join(found, ["file_no", "idx"], "left").select("file_no", "idx", "page_id", "begin", "size", "hash"), "warc-leaves")
     common.delete(spark, path)
     common.dropped(index)
     return out

@@ -650,6 +650,14 @@ def test_warc_files_read_by_offset(spark):
     assert broken["url"] == "http://x" and "A" in broken["payload"] and broken["digest_ok"] is False
 
 
+def test_warc_file_without_legible_list(spark, tmp_path):
+    lists = ["WARC/1.1 cut short", warc.INDEX_HEAD + "Content-Length: 5" + warc.END + "x 0 4"]
+    for i, text in enumerate(lists):
+        (tmp_path / f"file_no={i}").mkdir()
+        (tmp_path / f"file_no={i}" / "part.txt").write_bytes((text + warc.END).encode())
+    assert [r["data"] for r in warc.cut_records(spark, str(tmp_path)).collect() if r["idx"] is not None] == []
+
+
 def test_warc_audit(spark, monkeypatch):
     monkeypatch.setattr(warc, "FILE_RECORDS", 40)
     monkeypatch.setattr(warc, "FANOUT", 3)

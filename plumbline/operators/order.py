@@ -7,12 +7,22 @@ window inside a range, and ranges add the bounded table of the ranges' sums befo
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RANGE_VALUES, MAX_RANGES = 50_000, 2_048
 
 
+def once(df: DataFrame) -> DataFrame:
+    """A checkpoint in the folder of ``spark.checkpoint.dir``: no cached block stays behind, and a lost executor loses nothing."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plumbline-"))
+    return df.checkpoint()
+
+
 def _bounds(df: DataFrame, value: str) -> list:
     """Bounds of the ranges: one pass counts the values and takes MAX_RANGES quantiles, of which as many are used as there are ranges."""
     got = df.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(value, [k / MAX_RANGES for k in range(1, MAX_RANGES)], 10 * MAX_RANGES).alias("b")).first()
@@ -23,9 +33,12 @@ def _bounds(df: DataFrame, value: str) -> list:
 
 
 def cumulative(df: DataFrame, value: str, groups: list[str] | None = None) -> DataFrame:
-    """(groups, value, n, before, total): rows of each distinct value, rows of smaller values, rows of the group.  Null values are left out."""
+    """(groups, value, n, before, total): rows of each distinct value, rows of smaller values, rows of the group.  Null values are left out.
+
+    The counts are written once: the bounds, the ranges' sums and the windows read them, not ``df``.
+    """
     groups = groups or []
-    counted = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n"))
+    counted = once(df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n")))
     bounds = _bounds(counted, value)
     bucket = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(value))) if bounds else F.lit(0)
     placed = counted.withColumn("_b", bucket)
@@ -65,7 +78,13 @@ def percentiles(df: DataFrame, value: str, shares: dict[str, float], groups: lis
 
 
 def ranked(df: DataFrame, value: str, ties: list[Column]) -> DataFrame:
-    """Add ``rank``: 1 for the smallest value, ties in the order of ``ties``."""
-    c = cumulative(df, value).select(F.col(value).alias("_v"), "before")
-    w = Window.partitionBy(value).orderBy(*ties)
-    return df.withColumn("_k", F.row_number().over(w)).join(c, F.col(value) == F.col("_v")).withColumn("rank", F.col("_k") + F.col("before")).drop("_k", "_v", "before")
+    """Add ``rank``: 1 for the smallest value, ties in the order of ``ties``; null values are left out.
+
+    One sort by ranges of value and ties, so that rows of one score may fill many tasks.  A row's place in its range is in its
+    identifier's low bits; the sorted rows are written before the ranges are counted, so that both see one order.
+    """
+    placed = once(df.where(F.col(value).isNotNull()).orderBy(F.col(value), *ties).withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33)
+    sizes = placed.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))  # a row a task of the sort
+    heads = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_o"))
+    return placed.withColumn("_p", part).join(F.broadcast(heads), "_p").withColumn("rank", F.col("_o") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_p", "_id", "_o")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,15 +36,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scored_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same for queries that pass over the scores several times: texts are read and counted once, and the scores are written to the checkpoint folder."""
-    return once(scored(spark, sf_dir))
-
-
-def once(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder of ``spark.checkpoint.dir``: no cached block stays behind, and a lost executor loses nothing."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plumbline-"))
-    return df.checkpoint()
+    return order.once(scored(spark, sf_dir))
 
 
 #: The same in SQL.
@@ -75,14 +65,14 @@ def entropy_loss_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def highlighted(df: DataFrame, score: str, key: str, bottom: int | None = None, share: float | None = None) -> DataFrame:
     """Rank by score, best first, and mark the worst: ``bottom`` of them, a share in per cent, or the worst fifth up to three; ties at the edge count too, and none if all are alike."""
-    total = df.agg(F.count(F.lit(1)).alias("n"), (F.max(score) - F.min(score)).alias("spread")).first()
+    total = df.agg(F.count(score).alias("n"), (F.max(score) - F.min(score)).alias("spread")).first()
     n, spread = total["n"], total["spread"] or 0.0
     most = bottom if bottom is not None else int(n * share / 100) if share is not None else min(3, int(n * 0.2))
     most = max(0, min(most, n))
     ranks = order.ranked(df, score, [F.col(key)])
     if not most or not spread:
         return ranks.withColumn("highlighted", F.lit(False))
-    edge = order.cumulative(df, score).where((F.col("before") < n - most + 1) & (F.col("before") + F.col("n") >= n - most + 1)).agg(F.max(score)).first()[0]
+    edge = ranks.where(F.col("rank") == n - most + 1).agg(F.max(score)).first()[0]
     return ranks.withColumn("highlighted", F.col(score) >= F.lit(edge))
 
 

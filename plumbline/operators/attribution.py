@@ -76,3 +76,17 @@ def annotation_template(found: DataFrame, key: str) -> DataFrame:
     index = F.row_number().over(Window.partitionBy(key).orderBy("dimension", "category")) - 1
     null = F.lit(None).cast("string")
     return found.select(key, index.alias("directive_index"), "category", null.alias("rating"), null.alias("rater"))
+
+
+def of_files(files: DataFrame, evaluated: DataFrame, key: str, model=None, threshold: float = 0.3) -> DataFrame:
+    """Directives of evaluated files: each dimension over the threshold, with the feature that says most and the lines of the first unit."""
+    from plumbline.functions.lines import line_count
+    from plumbline.operators import code
+    from plumbline.operators.model import project
+
+    first = code.unit_table(files, key).where("unit_idx = 0")
+    projected = project(first, "features", model, F.col("partial_parse")) if model is not None else None
+    rows = attributions(evaluated, projected, key, first, 1).join(evaluated.select(key, F.col("is_dominant").alias("dominant")), key)
+    rows = rows.join(files.select(key, line_count(F.col("source")).alias("line_count")), key)
+    feature = F.get("features", F.lit(0))
+    return directives(rows.withColumn("feature_index", feature["feature_index"]).withColumn("deviation", feature["deviation"]), threshold)

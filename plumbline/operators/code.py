@@ -351,9 +351,10 @@ def anti_patterns(unit: DataFrame, key: list[str]) -> DataFrame:
 
 
 def evaluate_files(files: DataFrame, key: str, model=None, top: int = 3, source: str = "source", language: str = "language") -> DataFrame:
-    """The whole evaluation: declarations and first unit of each file, projection if there is a model, scores and decisions."""
+    """The whole evaluation: declarations and first unit of each file, projection and distance to the exemplars if there is a model, scores and decisions."""
     from plumbline.functions import scoring
     from plumbline.operators.evaluate import evaluate_texts
+    from plumbline.operators.exemplars import nearest
     from plumbline.operators.model import project
 
     base = files.select(key, F.col(source).alias("source"), F.col(language).alias("language"))
@@ -362,8 +363,13 @@ def evaluate_files(files: DataFrame, key: str, model=None, top: int = 3, source:
         return evaluate_texts(joined, key, "source", top, dominant="is_dominant")
     first = unit_table(base, key).where("unit_idx = 0").select(key, "features", "partial_parse")
     p = project(first, "features", model, F.col("partial_parse")).select(key, "l_drift", "l_virtue", "quality_flag")
+    joined = joined.join(p, key, "left")
+    ncd = None
+    if model.exemplars:
+        texts = files.sparkSession.createDataFrame(list(enumerate(model.exemplars)), "e int, t string")
+        joined, ncd = joined.join(nearest(base, key, "source", texts, "e", "t"), key, "left"), "ncd"
     accept, reject = (d if v is None else v for v, d in ((model.accept, scoring.ACCEPT), (model.reject, scoring.REJECT)))
-    return evaluate_texts(joined.join(p, key, "left"), key, "source", top, model.sigma_drift, model.sigma_virtue, "l_drift", "l_virtue", None, "is_dominant", accept, reject)
+    return evaluate_texts(joined, key, "source", top, model.sigma_drift, model.sigma_virtue, "l_drift", "l_virtue", ncd, "is_dominant", accept, reject)
 
 
 def samples(spark: SparkSession) -> DataFrame:

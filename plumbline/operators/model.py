@@ -46,6 +46,7 @@ class Model:
     n_training: int = 0
     provider: str = ""
     distribution: dict[str, float] | None = None
+    exemplars: list[str] = field(default_factory=list)  # texts, one a component at most
 
     @property
     def k(self) -> int:
@@ -229,14 +230,14 @@ def save(m: Model, spark: SparkSession, path: str, force: bool = False) -> None:
     row = pd.DataFrame([{k: v for k, v in m.__dict__.items() if k != "distribution"} | {"distribution": m.distribution or {}}])
     schema = (
         "mean array<double>, std array<double>, w array<array<double>>, evr array<double>, sigma_drift double, sigma_virtue double, accept double, reject double, version string, corpus_hash string, "
-        "language string, corpus_class string, n_training long, provider string, distribution map<string,double>"
+        "language string, corpus_class string, n_training long, provider string, distribution map<string,double>, exemplars array<string>"
     )
     spark.createDataFrame(row.to_dict("records"), schema).coalesce(1).write.mode("overwrite" if force else "error").parquet(path)
 
 
 def load(spark: SparkSession, path: str) -> Model:
     r = spark.read.parquet(path).first().asDict(recursive=True)
-    return Model(**{k: v for k, v in r.items() if k in Model.__dataclass_fields__})
+    return Model(**{k: v for k, v in r.items() if k in Model.__dataclass_fields__ and (k != "exemplars" or v is not None)})
 
 
 def import_npz(path: str) -> Model:
@@ -253,5 +254,5 @@ def import_npz(path: str) -> Model:
 def inspect(m: Model) -> dict:
     return {
         "n_components": m.k, "mean_range": [min(m.mean), max(m.mean)], "std_range": [min(m.std), max(m.std)], "explained_variance": sum(m.evr), "sigma_drift": m.sigma_drift, "sigma_virtue": m.sigma_virtue,
-        "accept": m.accept, "reject": m.reject, "version": m.version, "corpus_hash": m.corpus_hash, "language": m.language, "n_training": m.n_training, "provider": m.provider,
+        "accept": m.accept, "reject": m.reject, "version": m.version, "corpus_hash": m.corpus_hash, "language": m.language, "n_training": m.n_training, "provider": m.provider, "exemplars": len(m.exemplars),
     }

@@ -147,3 +147,38 @@ def verified(data: bytes, sha256: str) -> bytes:
     if hashlib.sha256(data).hexdigest() != sha256:
         raise ValueError("the model's digest differs from the registry's")
     return data
+
+
+def pulled(entry: dict, cache: str, force: bool = False) -> str:
+    """The path of a registry's model in the cache folder, fetched and verified if it is not there; what does not verify is not kept."""
+    import urllib.request
+
+    os.makedirs(cache, exist_ok=True)
+    path = os.path.join(cache, entry["name"].replace("/", "_") + ".npz")
+    if not os.path.exists(path) or force:
+        url = entry["download_url"]
+        with urllib.request.urlopen(url if "://" in url else f"file://{os.path.abspath(url)}", timeout=60) as f:
+            data = verified(f.read(), entry["sha256"])
+        with open(path + ".part", "wb") as f:
+            f.write(data)
+        os.replace(path + ".part", path)
+    return path
+
+
+def resolved(spark: SparkSession, name: str, cache: str):
+    """A model by its folder, its archive, or its name in the cache."""
+    from plumbline.operators import model
+
+    if name.endswith(".npz"):
+        return model.import_npz(name)
+    cached = os.path.join(cache, name.replace("/", "_") + ".npz")
+    return model.import_npz(cached) if not os.path.exists(name) and os.path.exists(cached) else model.load(spark, name)
+
+
+def config_hash(start: str) -> str:
+    """Digest of the nearest configuration file, by which caches are told apart; empty without one."""
+    path = find_config(start)
+    if path is None:
+        return ""
+    with open(path, "rb") as f:
+        return hashlib.sha256(f.read()).hexdigest()

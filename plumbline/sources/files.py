@@ -63,9 +63,9 @@ def changed_paths(repository: str, revisions: str | None = None) -> list[str]:
     return [p for p in _git(repository, "diff", "--name-only", "--diff-filter=ACMR", *what).splitlines() if p]
 
 
-def changed(spark: SparkSession, repository: str, revisions: str | None = None) -> DataFrame:
+def changed(spark: SparkSession, repository: str, revisions: str | None = None, overrides: dict[str, str] | None = None, exclude_globs: list[str] | None = None) -> DataFrame:
     wanted = spark.createDataFrame([(p,) for p in changed_paths(repository, revisions)], "file_path string")
-    return scan(spark, repository).join(F.broadcast(wanted), "file_path", "left_semi")  # a list the driver made
+    return scan(spark, repository, overrides, exclude_globs).join(F.broadcast(wanted), "file_path", "left_semi")  # a list the driver made
 
 
 def history(spark: SparkSession, repository: str, commits: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import scoring
 from plumbline.operators import code, records, statistics
 from plumbline.plans.stats_queries import _rounded
-from plumbline.plans.text_queries import SCORED, scored_once, table
+from plumbline.plans.text_queries import SCORED, scored, scored_once, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -145,3 +145,36 @@ def finite_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = F.get(F.array(F.lit(None).cast("double"), F.lit(float("nan")), F.lit(float("inf"))), (F.col("vec_id") % 3).cast("int"))
     v = F.col("embedding").cast("array<double>")
     return table(spark, sf_dir, "embeddings").select("vec_id", finite(F.when(F.col("vec_id") % 7 == 0, F.array_append(v, bad)).otherwise(v)).alias("finite"))
+
+
+#: Knots of a training distribution that some documents' scores lie beyond on both sides.  Scores have nine digits, so that percentiles of nine have no ties to round.
+_TRAINED = {"min": 0.36, "p10": 0.4, "p25": 0.42, "median": 0.45, "p75": 0.48, "p90": 0.52, "max": 0.6}
+_PERCENTILE = SCORED + """, k(a, b, ya, yb) AS (VALUES (0.36, 0.4, 0, 10), (0.4, 0.42, 10, 25), (0.42, 0.45, 25, 50), (0.45, 0.48, 50, 75), (0.48, 0.52, 75, 90), (0.52, 0.6, 90, 100)),
+    p AS (SELECT doc_id, score, decision, 100 - CASE WHEN score >= 0.6 THEN 100 WHEN score < 0.36 THEN 0 ELSE CAST(ya AS DOUBLE) + (score - a) / (CAST(b AS DOUBLE) - a) * (yb - ya) END AS percentile
+          FROM scored LEFT JOIN k ON score >= CAST(a AS DOUBLE) AND score < CAST(b AS DOUBLE)) """
+
+
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.operators import reports
+
+    return scored(spark, sf_dir).withColumn("percentile", F.round(reports.percentile(F.col("score"), _TRAINED), 9))
+
+
+@query(_PERCENTILE + """SELECT doc_id, CASE decision WHEN 'accept' THEN 'note' WHEN 'warn' THEN 'warning' ELSE 'error' END AS level, round(percentile, 9) AS percentile,
+    'Score: ' || printf('%.3f', score) || ' (p' || CAST(round_even(round(percentile, 9), 0) AS INTEGER) || ' — better than ' || CAST(round_even(round(percentile, 9), 0) AS INTEGER) || '% of training corpus) [' || decision || ']' AS message FROM p""")
+def sarif_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Level, percentile and message of every document's SARIF result."""
+    from plumbline.operators import reports
+
+    return _placed(spark, sf_dir).select("doc_id", records.level(F.col("decision")).alias("level"), "percentile", reports.message(F.col("score"), F.col("percentile"), F.col("decision")).alias("message"))
+
+
+@query(_PERCENTILE + """SELECT count(*) AS total_files, count(*) FILTER (decision = 'accept') AS accepted, count(*) FILTER (decision = 'warn') AS warned, count(*) FILTER (decision = 'reject') AS rejected,
+    round(avg(score), 6) AS mean_score, round(avg(round(percentile, 9)), 4) AS mean_percentile,
+    CASE WHEN count(*) FILTER (decision = 'reject') > 0 THEN 'reject' WHEN count(*) FILTER (decision = 'warn') > 0 THEN 'warn' ELSE 'accept' END AS overall_decision FROM p""")
+def report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary of a report, with the mean percentile."""
+    from plumbline.operators import reports
+
+    s = reports.summary(_placed(spark, sf_dir))
+    return s.select("total_files", "accepted", "warned", "rejected", F.round("mean_score", 6).alias("mean_score"), F.round("mean_percentile", 4).alias("mean_percentile"), "overall_decision")

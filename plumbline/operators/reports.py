@@ -50,14 +50,21 @@ def detailed(evaluated: DataFrame, distribution: dict[str, float] | None = None)
     })
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """A number as C, Python and SQL print it with so many digits: rounded by its exact binary value, ties to the even digit; the format string rounds its shortest decimal form, ties up."""
+    shown = F.translate(F.format_number(x, digits), ",", "")
+    # under the last digit, format_number takes the only decimal tie for an exact one, as the format string does not
+    return F.when(F.abs(x) < F.lit(10.0**-digits), F.format_string(f"%.{digits}f", x)).otherwise(shown) if digits else shown
+
+
 def message(score: Column, place: Column, decision: Column, violations: Column | None = None) -> Column:
     """What a result says: score, percentile if known, decision and the violations with their shares."""
     p = F.bround(place).cast("int").cast("string")
     of = F.when(place.isNull(), "").otherwise(F.concat(F.lit(" (p"), p, F.lit(" — better than "), p, F.lit("% of training corpus)")))
-    head = F.concat(F.lit("Score: "), F.format_string("%.3f", score), F.coalesce(of, F.lit("")), F.lit(" ["), decision, F.lit("]"))
+    head = F.concat(F.lit("Score: "), fixed(score, 3), F.coalesce(of, F.lit("")), F.lit(" ["), decision, F.lit("]"))
     if violations is None:
         return head
-    listed = F.array_join(F.transform(violations, lambda v: F.concat(v["dimension"], F.lit(" ("), F.format_string("%.0f", v["contribution"] * 100), F.lit("%)"))), ", ")
+    listed = F.array_join(F.transform(violations, lambda v: F.concat(v["dimension"], F.lit(" ("), fixed(v["contribution"] * 100, 0), F.lit("%)"))), ", ")
     return F.concat(head, F.when(F.size(violations) > 0, F.concat(F.lit(". Violations: "), listed)).otherwise(". No violations."))
 
 
@@ -94,7 +101,7 @@ def sarif_results(rows: DataFrame, key: str, directives: DataFrame | None = None
     if directives is None:
         return out
     line = lambda c: F.coalesce(F.col(c), F.lit(1)) if c in directives.columns else F.lit(1)
-    text = F.concat(F.lit("["), F.col("severity"), F.lit("] "), F.col("category"), F.lit(" ("), F.col("dimension"), F.lit(": "), F.format_string("%.3f", F.col("norm")), F.lit(")"))
+    text = F.concat(F.lit("["), F.col("severity"), F.lit("] "), F.col("category"), F.lit(" ("), F.col("dimension"), F.lit(": "), fixed(F.col("norm"), 3), F.lit(")"))
     result = F.struct(
         F.concat(F.lit("directive/"), F.col("category")).alias("ruleId"), F.when(F.col("severity") == "high", "error").otherwise("warning").alias("level"),
         F.struct(text.alias("text")).alias("message"), place(line("start_line"), line("end_line")).alias("locations"),
@@ -116,7 +123,7 @@ def text_lines(rows: DataFrame, key: str, classify: bool = False, rank: str | No
     """(key, value): a line a file; ``classify`` adds the decision with warnings called marginal, ``rank`` names a column of ranks shown first and ``highlighted`` is marked."""
     p = F.when(F.col("percentile").isNull(), "").otherwise(F.concat(F.lit("  p"), F.bround("percentile").cast("int").cast("string")))
     label = F.when(F.col("decision") == "warn", "marginal").otherwise(F.col("decision"))
-    parts = [F.concat(F.format_string("%.4f", F.col("score")), p, F.lit("  "), F.col(key).cast("string"))]
+    parts = [F.concat(fixed(F.col("score"), 4), p, F.lit("  "), F.col(key).cast("string"))]
     if classify:
         parts.insert(0, F.rpad(label, 8, " "))
     if rank:

@@ -63,6 +63,15 @@ def test_percentile_and_message(spark):
     ]
 
 
+def test_messages_round_as_sql_does(spark):
+    from pyspark.sql import functions as F
+
+    scores = [k / 2000 for k in range(2001)] + [k / 1024 for k in range(1025)]  # 0.0625 is a tie, 0.4125 lies just under one
+    of = reports.message(F.col("score"), F.lit(None).cast("double"), F.lit("warn"))
+    shown = spark.createDataFrame([(x,) for x in scores], "score double").select("score", of.alias("m"), reports.fixed(F.col("score"), 4).alias("four"), reports.fixed(F.col("score") * 100, 0).alias("none")).collect()
+    assert [tuple(r)[1:] for r in shown] == [(f"Score: {x:.3f} [warn]", f"{x:.4f}", f"{x * 100:.0f}") for x, *_ in shown]
+
+
 def test_check_uses_its_cache(spark, project, capsys):
     git = lambda *x: subprocess.run(["git", "-C", str(project), *x], check=True, capture_output=True)
     git("init", "-q")

@@ -45,6 +45,8 @@ BUFFER = 2_048
 STEP_TOKENS = 64 * 1024
 #: Chunks that are encoded as one text.
 LINES = 2_048
+#: Bytes of chunks that a process remembers within a task: half the words of a task of 16 MB are new to it.
+POOL_BYTES = 192 << 20
 
 _ready: dict[tuple[str, bool], ChunkPool] = {}
 
@@ -58,7 +60,7 @@ def token_pool(path: str, special: bool = True) -> ChunkPool:
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = not special
         whole = [x.content for x in t.get_added_tokens_decoder().values()]
-        _ready[path, special] = ChunkPool(lambda texts: [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)], _joined_encoder(t), whole=whole)
+        _ready[path, special] = ChunkPool(lambda texts: [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)], _joined_encoder(t), POOL_BYTES, whole)
     return _ready[path, special]
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from plumbline.llm import common, language_id, line_dedup, packing, segment_bpe, simhash, sketch, suffix_dedup, suffix_windows, token_rollup, warc  # noqa: E402
+from plumbline.llm.chunks import ChunkPool  # noqa: E402
 from plumbline.llm.components import connected_components  # noqa: E402
 from plumbline.llm.exact_dedup import DedupIndex, exact_dedup  # noqa: E402
 
@@ -273,6 +274,24 @@ def test_packing_special_tokens_and_pool(spark):
     pool.limit = 96 << 20
 
 
+def test_chunk_pool_keeps_what_many_texts_have():
+    encoded = Counter()
+
+    def encode(chunks):
+        encoded.update(chunks)
+        return [[len(c), *map(ord, c)] for c in chunks]
+
+    pool = ChunkPool(encode, limit=60_000)
+    want = lambda t: [x for k, w in enumerate(t.split(" ")) for c in [w if k == 0 else " " + w] for x in (len(c), *map(ord, c))]
+    for k in range(60):
+        texts = [f"start common words and one{k}x{j} more" for j in range(20)]
+        assert [x.tolist() for x in pool.encode_batch(texts)] == [want(t) for t in texts]
+        odd = ["two  spaces", "a\u00a0b common", "", "tab\tword"]  # whole texts, but for the empty one
+        assert [x.tolist() for x in pool.encode_batch(odd)] == [[] if not t else [len(t), *map(ord, t)] for t in odd]
+        assert pool.held < 90_000
+    assert encoded[" common"] == encoded["start"] == 1 and encoded[" one0x0"] == 1
+
+
 def test_step_groups_mix_tiers_evenly():
     made = []
     p = packing.Packer(lambda tier, step, w: made.append((tier, step)), buffer=100)

@@ -93,8 +93,9 @@ def _emitter(groups: int):
         order = np.argsort(part, kind="stable")
         part = part[order]
         cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.zeros(0, np.int64)
-        end = np.append(cut[1:], len(part))
-        return part[cut], [[c[order][s:e].tobytes() for s, e in zip(cut, end, strict=True)] for c in columns]
+        end = np.append(cut[1:], len(part))[: len(cut)]  # nothing may repeat in a chunk: then there is no block
+        dealt = [c[order] for c in columns]  # once, not once a group: there are as many groups as millions of positions
+        return part[cut], [[c[s:e].tobytes() for s, e in zip(cut, end, strict=True)] for c in dealt]
 
     def blocks(name: np.ndarray, owner: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
         order = np.argsort(name, kind="stable")

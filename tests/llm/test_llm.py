@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,6 +200,18 @@ def test_very_long_texts(spark):
     assert {r["doc_id"]: r["lang_pred"] for r in language_id.identify(d).collect()}[4] == "und"
 
 
+def test_span_emitter_without_repeats_in_a_chunk():
+    rng = random.Random(41)
+    passage = "".join(rng.choices("abcdefgh ", k=260))
+    blocks = []
+    for rep, text in enumerate((passage + "".join(rng.choices("xyz", k=90)), passage + "".join(rng.choices("uvw", k=90)))):
+        spans = [{"seed": -5, "lo": 0, "hi": 99, "rep": rep, "subs": 1}]
+        blocks += suffix_dedup._emitter(3)(iter([pa.RecordBatch.from_pylist([{"text": text, "spans": spans}])]))  # each a task's last chunk
+    assert all(b.num_rows == 1 for b in blocks)
+    found = suffix_dedup._settle((0,), pa.Table.from_batches(blocks)).to_pydict()
+    assert found["rep"] == [0, 1] and found["m0"] == [(1 << 60) - 1] * 2 and found["m1"] == [1] * 2
+
+
 def test_leftmost_minimum():
     rng = np.random.default_rng(0)
     for _ in range(60):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from plumbline.llm import common, language_id, line_dedup, packing, segment_bpe, simhash, sketch, suffix_dedup, suffix_windows, token_rollup, warc  # noqa: E402
+from plumbline.llm import common, language_id, line_dedup, near_copies, packing, segment_bpe, simhash, sketch, suffix_dedup, suffix_windows, token_rollup, warc  # noqa: E402
 from plumbline.llm.chunks import ChunkPool  # noqa: E402
 from plumbline.llm.components import connected_components  # noqa: E402
 from plumbline.llm.exact_dedup import DedupIndex, exact_dedup  # noqa: E402
@@ -531,6 +531,20 @@ def test_drop_near_copies_reaches_similarity(spark):
     assert {r["doc_id"] for r in simhash.drop_near_copies(docs(spark, made)).collect()} == want
 
 
+def test_near_copies_meet_in_balls_first(spark):
+    rng = random.Random(29)
+    made = []
+    for k in range(40):
+        words = prose(rng, 400).split()
+        made += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:-1], "changed"]))]
+    rows = near_copies._named(docs(spark, made).select(F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("u1"), F.lit(0).cast("long").alias("u2"), "text"))
+    got = {(r["a"], r["b"]) for r in near_copies._balls(rows).collect()}
+    at = {r["id"]: (r["node"], r["fp"]) for r in rows.collect()}
+    within = lambda x, y: (at[x][1] ^ at[y][1]) & (2**64 - 1)
+    want = {tuple(sorted((at[x][0], at[y][0]))) for x in at for y in range(x) if within(x, y).bit_count() <= 3}
+    assert len(want) > 30 and got == want
+
+
 # --- 8 ---
 
 

@@ -619,6 +619,24 @@ def test_line_dedup(spark, seed):
     assert Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"] or "") for r in got) == plain_lines(made)
 
 
+def test_line_dedup_reads_lines_cheaply(spark, monkeypatch):
+    rng = random.Random(37)
+    lines = [prose(rng, 12) for _ in range(400)]
+    d = docs(spark, [(k, "\n".join([lines[k], " \t\r\x0b\x0c", " \u00a0", lines[200 + k], lines[0]])) for k in range(200)])
+    met, lookup = [], common.lookup
+
+    def counted(left, *more, **named):
+        met.append(left.count())
+        return lookup(left, *more, **named)
+
+    monkeypatch.setattr(common, "lookup", counted)
+    out = line_dedup.line_dedup(d)
+    assert {r["doc_id"]: r["n_dropped"] for r in out.collect()} == {k: (1 if k == 0 else 2) for k in range(200)}
+    assert met[-1] < 500  # of 800 lines that are not blank, those with a copy
+    plan = line_dedup._lines(line_dedup._rows(d, "doc_id", "text"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate(" not in plan  # every character of every text, where the first one tells
+
+
 def test_line_dedup_edges(spark):
     d = docs(spark, [])
     assert line_dedup.line_dedup(d).count() == 0

@@ -1,6 +1,7 @@
 """Small fixtures for every operator: nulls, empties, ties, repeats, extra columns, and plain versions of the results."""
 
 import base64
+import gzip
 import hashlib
 import random
 import zlib
@@ -744,6 +745,17 @@ def test_warc_files_read_by_offset(spark):
     assert broken["url"] == "http://x" and "A" in broken["payload"] and broken["digest_ok"] is False
 
 
+def test_warc_files_are_deflated_fast(spark, tmp_path):
+    rng = random.Random(41)
+    p = pages(spark, [(k, f"http://h/{k}", prose(rng, 2_000)) for k in range(50)]).coalesce(1)
+    warc.write_files(p, str(tmp_path / "w"))
+    (path,) = (tmp_path / "w" / "file_no=0").glob("*.gz")
+    data = path.read_bytes()
+    plain = gzip.decompress(data)
+    assert plain.count(b"WARC-Type: response") == 50
+    assert len(data) > (len(gzip.compress(plain, 1)) + len(gzip.compress(plain, 6))) / 2  # level 1's size, not the default's
+
+
 def test_warc_file_without_legible_list(spark, tmp_path):
     lists = ["WARC/1.1 cut short", warc.INDEX_HEAD + "Content-Length: 5" + warc.END + "x 0 4"]
     for i, text in enumerate(lists):

@@ -216,7 +216,7 @@ def predict(rows: DataFrame, carried: list[str], model: ByteCNN | None, text_col
     types = dict(rows.dtypes)
     schema = ", ".join([*(f"{o} {types[c]}" for o, c in zip(own, carried, strict=True)), "lang_pred string", "score double"])
     narrow = rows.select(*[common.named(c).alias(f"c{k}") for k, c in enumerate(columns)])
-    return narrow.mapInArrow(run, schema).toDF(*carried, "lang_pred", "score")
+    return narrow.mapInArrow(common.trimmed(run), schema).toDF(*carried, "lang_pred", "score")
 
 
 @dataclass

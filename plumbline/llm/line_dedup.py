@@ -40,8 +40,8 @@ MIN_CHARS = 16
 BLOCK = 64
 #: A line of these alone is blank; a trim ends at the first other character.
 BLANK = " \t\r\x0b\x0c"
-#: Lines whose neighbourhoods one task emits.
-TASK_LINES = 4_000
+#: Characters of the lines whose neighbourhoods one task emits.
+TASK_CHARS = 200_000
 _PLACE = ["none", "id", "doc", "pos"]
 
 
@@ -107,22 +107,24 @@ UNLIKE = "min_h1 <> max_h1 OR min_h2 <> max_h2"
 def _gone(lines: DataFrame, known: DataFrame) -> DataFrame:
     """(h1, h2) of the distinct lines that have an earlier line one edit away."""
     long_ = known.where(F.col("n") >= MIN_CHARS - 1)  # the earlier line of a pair may be the shorter one
-    halves = long_.select("h1", "h2", F.explode(F.array(*[F.struct(F.col(f"k{i}").alias("k"), F.lit(i % 2).alias("side")) for i in range(4)])).alias("half")).select("h1", "h2", "half.k", "half.side")
+    halves = long_.select("h1", "h2", "n", F.explode(F.array(*[F.struct(F.col(f"k{i}").alias("k"), F.lit(i % 2).alias("side")) for i in range(4)])).alias("half")).select("h1", "h2", "n", "half.k", "half.side")
     shared = halves.groupBy("k").agg(*_ends("h1", "h2"), F.count(F.lit(1)).alias("lines")).where(UNLIKE).select("k", "lines")
     shared = common.written(shared, "lines-shared")
     hot = common.hot_keys(shared, "lines", common.total_rows(shared, "lines"))
-    met = common.lookup(halves, shared, ["k"], hot).groupBy("h1", "h2").agg(F.max(F.col("side") == 1).alias("front"), F.max(F.col("side") == 0).alias("back"))
+    met = common.lookup(halves, shared, ["k"], hot).groupBy("h1", "h2").agg(F.first("n").alias("n"), F.max(F.col("side") == 1).alias("front"), F.max(F.col("side") == 0).alias("back"))
     found = common.written(met, "lines-met")
     common.dropped(shared)
-    count = common.total_rows(found)
+    tasks = common.total_rows(found, "n") // TASK_CHARS + 1
     # copies of a line fall together in each task before anything moves
     texts = common.sifted(lines.select("h1", "h2", "line"), found, "h1").groupBy("h1", "h2").agg(F.first("line").alias("line"))
     near = texts.join(found, ["h1", "h2"]).join(known.select("h1", "h2", "first"), ["h1", "h2"])
-    near = common.written(near.repartition(count // TASK_LINES + 1, "h1"), "lines-near")
+    near = common.written(near, "lines-near")
+    # dealt after reading: a scan puts many small files in one task
+    dealt = near.repartition(tasks, "h1")
     # replacements meet at one spot; deletions (kind 1) meet the shorter line's own keys (kind 2)
-    clash = _variants(near, ["h1", "h2"]).groupBy("key", "spot").agg(*_ends("h1", "h2"), F.min("kind").alias("lo"), F.max("kind").alias("hi"))
+    clash = _variants(dealt, ["h1", "h2"]).groupBy("key", "spot").agg(*_ends("h1", "h2"), F.min("kind").alias("lo"), F.max("kind").alias("hi"))
     clash = common.written(clash.where(f"({UNLIKE}) AND (spot >= 0 OR (lo = 1 AND hi = 2))").select("key", "spot"), "lines-clash")
-    members = _variants(near, ["h1", "h2", "first"]).join(clash, ["key", "spot"])
+    members = _variants(dealt, ["h1", "h2", "first"]).join(clash, ["key", "spot"])
     members = common.written(members.withColumn("self", F.struct("first", "h1", "h2")), "lines-members")
     first = members.groupBy("key", "spot").agg(
         F.min("self").alias("any"), F.min(F.when(F.col("kind") == 1, F.col("self"))).alias("cut"), F.min(F.when(F.col("kind") == 2, F.col("self"))).alias("own")

@@ -248,4 +248,4 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             yield table()
 
     narrow = docs.select(common.named(id_col).alias("id"), common.named(text_col).alias("text"))
-    return narrow.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return narrow.mapInArrow(common.trimmed(run), schema).withColumnRenamed("id", id_col)

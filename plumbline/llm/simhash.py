@@ -153,7 +153,7 @@ def links(fps: DataFrame, n: int) -> DataFrame:
         return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
 
     tasks = max(1, math.ceil(n * 561 / TASK_ROWS))
-    blocks = fps.select("fp").repartition(tasks, "fp").mapInArrow(emit, "part int, v binary, flip binary")
+    blocks = fps.select("fp").repartition(tasks, "fp").mapInArrow(common.trimmed(emit), "part int, v binary, flip binary")
     return blocks.groupBy("part").applyInArrow(meet, "a long, b long").distinct()
 
 

@@ -204,7 +204,7 @@ def removed_spans(docs: DataFrame, text_col: str, with_text: bool = False) -> tu
     text = docs.select(common.text_of(text_col).alias("text"))
     # one row a distinct text; copies fall together in each task before they move
     texts = common.written(text.select(*_keys(F.col("text")), "text").groupBy("t1", "t2").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")), "suffix-texts")
-    ranked = common.written(texts.select("t1", "t2", "text").mapInArrow(_anchor_rows, "t1 long, t2 long, seed long, span long, lo int, hi int"), "suffix-anchors")
+    ranked = common.written(texts.select("t1", "t2", "text").mapInArrow(common.trimmed(_anchor_rows), "t1 long, t2 long, seed long, span long, lo int, hi int"), "suffix-anchors")
 
     # 64-byte ranks: drop the unique ones
     seeds = ranked.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), (F.min("span") != F.max("span")).alias("mixed")).where("n > 1").select("seed", "mixed")
@@ -227,16 +227,16 @@ def removed_spans(docs: DataFrame, text_col: str, with_text: bool = False) -> tu
     wanted = dealt.groupBy("t1", "t2").agg(F.collect_list(F.struct("seed", "lo", "hi", "rep", "subs")).alias("spans"))
     positions = int(unfold.agg(F.sum(F.col("hi") - F.col("lo") + 1)).first()[0] or 0)
     groups = max(1, math.ceil(positions / GROUP_ROWS))
-    blocks = texts.select("t1", "t2", "text").join(wanted, ["t1", "t2"]).select("text", "spans").mapInArrow(_emitter(groups), "part int, names binary, owners binary")
+    blocks = texts.select("t1", "t2", "text").join(wanted, ["t1", "t2"]).select("text", "spans").mapInArrow(common.trimmed(_emitter(groups)), "part int, names binary, owners binary")
     schema = "rep long, " + ", ".join(f"m{k} long" for k in range(_MASKS))
     found = blocks.groupBy("part").applyInArrow(_settle, schema).groupBy("rep").agg(*[F.bit_or(f"m{k}").alias(f"m{k}") for k in range(_MASKS)])
     single = unfold.where("n = 1").select("rep", "t1", "t2", "lo").join(found, "rep")
-    edges = single.select("t1", "t2", "lo", *[f"m{k}" for k in range(_MASKS)]).mapInArrow(_runs, "t1 long, t2 long, lo int, hi int")
+    edges = single.select("t1", "t2", "lo", *[f"m{k}" for k in range(_MASKS)]).mapInArrow(common.trimmed(_runs), "t1 long, t2 long, lo int, hi int")
     starts = settled.unionByName(edges).groupBy("t1", "t2").agg(F.collect_list(F.struct("lo", "hi")).alias("starts"))
     starts = common.written(starts, "suffix-starts")
     common.dropped(left, kinds)
     out = texts.join(starts, ["t1", "t2"], "left").select("t1", "t2", "text", "copies", "starts").mapInArrow(
-        _cutter(with_text), "t1 long, t2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
+        common.trimmed(_cutter(with_text)), "t1 long, t2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
     )
     out = common.written(out, "suffix-out")
     counts = common.written(texts.select("t1", "t2", "copies"), "suffix-counts")

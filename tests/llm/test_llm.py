@@ -638,6 +638,38 @@ def test_line_dedup_reads_lines_cheaply(spark, monkeypatch):
     assert "translate(" not in plan  # every character of every text, where the first one tells
 
 
+def test_line_dedup_deals_long_lines_out(spark, monkeypatch):
+    rng = random.Random(41)
+    lines = [prose(rng, 800) for _ in range(100)]
+    d = docs(spark, list(enumerate(lines + [x[:1000] + "#" + x[1001:] for x in lines])))
+    dealt, variants = [], line_dedup._variants
+
+    def counted(near, carried):
+        by_task = near.groupBy(F.spark_partition_id()).agg(F.sum(F.char_length("line")).alias("n"))
+        dealt.append(max(r["n"] for r in by_task.collect()))
+        return variants(near, carried)
+
+    monkeypatch.setattr(line_dedup, "_variants", counted)
+    assert {r["doc_id"]: r["n_dropped"] for r in line_dedup.line_dedup(d).collect()} == {k: k // 100 for k in range(200)}
+    assert sum(map(len, lines)) > 300_000 > max(dealt)  # one task had all 200 lines
+
+
+def test_trimmed_gives_memory_back():
+    def held():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+
+    def run(batches):
+        blocks = [np.ones(12_000) for _ in range(2_000)]
+        last.append(np.ones(12_000))  # above the others, so that they are not at the heap's end
+        del blocks
+        yield from batches
+
+    last, before = [], held()
+    assert list(common.trimmed(run)(iter([1, 2]))) == [1, 2]
+    assert held() - before < 50e6  # 192 MB were in use and stayed
+
+
 def test_line_dedup_edges(spark):
     d = docs(spark, [])
     assert line_dedup.line_dedup(d).count() == 0
